@@ -1,11 +1,66 @@
-"""The corpus pipeline: stages that each filter or rewrite what the one before has kept."""
+"""The corpus pipeline: stages that each filter or rewrite what the one before has kept.
+
+Each stage calls one operator of ``arborel.llm``, takes (spark, docs, sf_dir)
+and returns a DataFrame that is written as Parquet and read again as the next
+stage's ``docs``.  All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from arborel.llm import decontam, line_dedup, packing, quality, simhash
+from arborel.llm.common import table, written
+from arborel.llm.encoding import tokenizer_path
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier scores 0.5 or more; it is fitted on labelled ones of the corpus."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"))
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; lines that several hold stay in the smallest doc_id only, and ``n_chars`` follows the text."""
+    out = line_dedup.dedup_lines(docs)
+    text = F.when(F.col("text").isNotNull(), F.col("kept_text"))
+    changed = {"text": text}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("n_dropped") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.withColumns(changed).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group of near-duplicates on shingles of five words, similarity 0.8."""
+    return simhash.keep_one_of_each(docs, words=5, similarity=0.8)
+
+
+def without_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    return decontam.remove_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document, with its place in a training sequence."""
+    return packing.pack(packing.token_lengths(docs, tokenizer_path("byte_bpe_50k.json")))
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("line dedup", without_repeated_lines),
+    ("simhash near-dedup", without_near_duplicates),
+    ("benchmark decontamination", without_benchmark_passages),
+    ("best-fit packing", packed),
+]
 
-STAGES: list = []
+#: A trained classifier has no SQL; the pipeline is tested stage by stage against brute force.
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for n, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if n + 1 < len(STAGES):
+            docs = written(docs, "stage")
+    return docs
