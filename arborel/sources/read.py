@@ -135,6 +135,7 @@ def query(
     """
     import re
 
+    from ..functions import exslt  # noqa: F401  registers the extension functions
     from ..plans import evaluate, xpath
 
     is_xpath = expression.startswith(("/", "./", "..", "(")) or expression == "." or re.match(r"[a-z-]+\(", expression) is not None
@@ -142,6 +143,8 @@ def query(
         xpath.parse(expression)  # errors belong to the driver
 
     def rows(doc_id, doc):
+        from ..functions import exslt  # noqa: F401
+
         find = evaluate.query if is_xpath else evaluate.select
         found = find(doc, expression, namespaces=namespaces, variables=variables)
         if not isinstance(found, list):
