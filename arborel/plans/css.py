@@ -86,7 +86,7 @@ class _Compiler:
         while True:
             had_space = self.space()
             c = self.combinator() or ("" if not had_space else " ")
-            if not c or self.peek()[0] == "end" or self.peek()[1] in (",", ")"):
+            if not c or (c == " " and (self.peek()[0] == "end" or self.peek()[1] in (",", ")"))):
                 return path
             path = self._join(path, c, None) + self.compound("*", c)
 
@@ -260,7 +260,7 @@ class _Compiler:
         while True:
             had = self.space()
             c = self.combinator() or (" " if had else "")
-            if not c or self.peek()[1] in (",", ")"):
+            if not c or (c == " " and self.peek()[1] in (",", ")", "")):
                 return out
             out = self._join(out, c, None) + self.compound("*", c)
 

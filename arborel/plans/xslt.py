@@ -739,14 +739,15 @@ def format_number(x: float, picture: str, symbols: Mapping[str, str] | None = No
     if math.isnan(x):
         return s["NaN"]
     positive, _, negative = picture.partition(s["pattern-separator"])
-    chosen, sign = positive, ""
-    if x < 0:
-        chosen, sign = (negative, "") if negative else (positive, s["minus-sign"])
     mark = re.escape(s["digit"] + s["zero-digit"] + s["decimal-separator"] + s["grouping-separator"])
-    m = re.search(f"[{mark}]+", chosen)
+    m = re.search(f"[{mark}]+", positive)
+    sign = s["minus-sign"] if x < 0 and not negative else ""
     if not m:
-        return sign + chosen
-    prefix, body, suffix = chosen[: m.start()], m[0], chosen[m.end() :]
+        return sign + positive
+    prefix, body, suffix = positive[: m.start()], m[0], positive[m.end() :]
+    if x < 0 and negative:  # its digits say nothing, only what stands around them
+        n = re.search(f"[{mark}]+", negative)
+        prefix, suffix = (negative[: n.start()], negative[n.end() :]) if n else (negative, "")
     x = abs(x)
     if s["percent"] in prefix + suffix:
         x *= 100

@@ -52,7 +52,7 @@ class _Builder:
 
     def imply(self, name: str) -> None:
         """Open html, head, body and p where ``name`` ("" for text) needs them."""
-        if name == "html":
+        if name == "html" or (not name and self.open[-1].local in ("title", "script", "style", "object")):
             return
         if not self.names():
             self.push("html")
