@@ -59,9 +59,20 @@ class Corpus:
         return self.documents().select("doc_id", F.posexplode("errors").alias("seq", "e")).select("doc_id", "seq", "e.line", "e.message")
 
     # -- queries ---------------------------------------------------------
-    def search(self, expression: str, namespaces: Mapping[str, str] | None = None, variables: Mapping[str, object] | None = None) -> DataFrame:
+    def search(self, expression: str, namespaces: Mapping[str, str] | None = None, variables: Mapping[str, object] | None = None, functions: Mapping[str, Callable] | None = None) -> DataFrame:
         """Results of an XPath expression or CSS selector: (doc_id, seq, pre, kind, name, value)."""
-        return read.query(self.df, self.source, expression, self.kind, self.id_column, namespaces, variables, **self.options)
+        return read.query(self.df, self.source, expression, self.kind, self.id_column, namespaces, variables, functions, **self.options)
+
+    def fold(self, schema: str, start: Callable[[], object], step: Callable[[object, Node], object], finish: Callable[[object], tuple]) -> DataFrame:
+        """A user's fold over each document's nodes in order: (doc_id, columns of ``schema``)."""
+
+        def rows(doc_id, doc):
+            state = start()
+            for n in doc.node.walk():
+                state = step(state, n)
+            return [(doc_id, *finish(state))]
+
+        return self._map(f"doc_id long, {schema}", rows)
 
     def paths(self, namespaces: Mapping[str, str] | None = None) -> Paths:
         """The relational lane over the node table, for many queries on one parsed corpus."""

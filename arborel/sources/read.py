@@ -126,12 +126,15 @@ def query(
     id_column: str = "doc_id",
     namespaces: Mapping[str, str] | None = None,
     variables: Mapping[str, object] | None = None,
+    functions: Mapping[str, Callable] | None = None,
     **options,
 ) -> DataFrame:
     """Parse and query in one pass: (doc_id, seq, pre, kind, name, value) of each node, or the scalar result.
 
     Only results leave the task.  ``expression`` is XPath if it starts with /,
-    ./, .. or is a dot or a call, else a CSS selector.
+    ./, .. or is a dot or a call, else a CSS selector.  ``functions`` maps names,
+    with "{namespace}" in front if they have one, to callables that take the
+    context, the node and the arguments' values.
     """
     import re
 
@@ -146,7 +149,7 @@ def query(
         from ..functions import exslt  # noqa: F401
 
         find = evaluate.query if is_xpath else evaluate.select
-        found = find(doc, expression, namespaces=namespaces, variables=variables)
+        found = find(doc, expression, namespaces=namespaces, variables=variables, functions=functions)
         if not isinstance(found, list):
             return [(doc_id, 1, None, 0, "", evaluate.string(found))]
         return [(doc_id, k, n.pre, n.kind, n.name, n.text()) for k, n in enumerate(found, 1)]
@@ -181,22 +184,40 @@ def sax_events(df: DataFrame, source: str, kind: str = "xml", id_column: str = "
 
 
 def reader_rows(df: DataFrame, source: str, id_column: str = "doc_id", **options) -> DataFrame:
-    """Rows of a pull reader's cursor: (doc_id, seq, node_type, depth, name, value, is_empty, attribute_count)."""
-    from ..tree import ELEMENT
+    """Rows of a pull reader's cursor, in the order in which it meets them.
+
+    ``node_type`` is the node's kind, 15 at the end of an element; ``lang`` and
+    ``base_uri`` are those in scope; ``outer_xml`` stands at the start of each
+    element that has no element above it but the root.
+    """
+    from urllib.parse import urljoin
+
+    from ..operators.serialize import to_xml
+    from ..tree import ELEMENT, XML_NS
+
+    names = {3: "#text", 4: "#cdata-section", 8: "#comment"}
 
     def rows(doc_id, doc):
         out = []
-        stack: list[tuple[Node, int, bool]] = [(c, 0, False) for c in reversed(doc.node.children)]
+        stack: list[tuple] = [(c, 0, False, None, doc.url) for c in reversed(doc.node.children)]
         while stack:
-            n, depth, done = stack.pop()
-            if done:
-                out.append((15, depth, n.name, None, False, len(n.attrs)))
-                continue
+            n, depth, done, lang, base = stack.pop()
+            if n.kind == ELEMENT:
+                lang = n.get("lang", XML_NS) or lang
+                own = n.get("base", XML_NS)
+                base = urljoin(base or "", own) if own else base
             empty = n.kind == ELEMENT and not n.children
-            out.append((n.kind, depth, n.name or {3: "#text", 4: "#cdata-section", 8: "#comment"}.get(n.kind, ""), None if n.kind == ELEMENT else n.value, empty, len(n.attrs)))
-            if n.kind == ELEMENT and n.children:
-                stack.append((n, depth, True))
-                stack.extend((c, depth + 1, False) for c in reversed(n.children))
+            outer = to_xml(n) if n.kind == ELEMENT and depth == 1 and not done else None
+            value = None if n.kind == ELEMENT else n.value
+            attrs = [(a.name, a.value) for a in n.attrs]
+            out.append((15 if done else n.kind, depth, n.name or names.get(n.kind, ""), n.local, n.prefix, n.ns, value, empty, len(attrs), attrs, lang, base, outer))
+            if n.kind == ELEMENT and n.children and not done:
+                stack.append((n, depth, True, lang, base))
+                stack.extend((c, depth + 1, False, lang, base) for c in reversed(n.children))
         return [(doc_id, k, *r) for k, r in enumerate(out)]
 
-    return map_documents(df, source, "xml", "doc_id long, seq int, node_type int, depth int, name string, value string, is_empty boolean, attribute_count int", rows, id_column, **options)
+    schema = (
+        "doc_id long, seq int, node_type int, depth int, name string, local_name string, prefix string, namespace_uri string, value string, is_empty boolean, "
+        "attribute_count int, attributes map<string,string>, lang string, base_uri string, outer_xml string"
+    )
+    return map_documents(df, source, "xml", schema, rows, id_column, **options)
