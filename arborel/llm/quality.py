@@ -10,7 +10,7 @@ time); every text is scored where it lies against a model of fixed size.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -67,7 +67,7 @@ class Machine:
     weights: np.ndarray
     factors: np.ndarray
 
-    def features(self, buckets: list[int], stats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def features(self, buckets: Sequence[int], stats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own = np.arange(len(STATISTICS)) * BINS + (self.edges < stats[:, None]).sum(axis=1) + (1 << WORD_BITS)
         index = np.concatenate((np.array(buckets, dtype=np.int64), own))
         value = np.concatenate((np.full(len(buckets), 1 / np.sqrt(max(1, len(buckets))), dtype=np.float32), np.ones(len(own), dtype=np.float32)))
@@ -79,7 +79,7 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
-def fit(rows: list[tuple[list[int], list[float], int]], epochs: int = 12, rate: float = 0.1, decay: float = 1e-5) -> Machine:
+def fit(rows: list[tuple[Sequence[int], Sequence[float], int]], epochs: int = 12, rate: float = 0.1, decay: float = 1e-5) -> Machine:
     """A machine for (buckets, statistics, label) rows by stochastic gradient steps; the same rows give the same machine."""
     size = (1 << WORD_BITS) + len(STATISTICS) * BINS
     random = np.random.default_rng(7)
@@ -121,10 +121,13 @@ def fold(doc_id: Column) -> Column:
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words = [t.split() for t in byte_rows(batch["_bytes"])]
-        stats = [statistics(t, w) for t, w in zip(byte_rows(batch["_bytes"]), words)]
+        buckets, stats = [], []
+        for text in byte_rows(batch["_bytes"]):
+            words = text.split()
+            buckets.append(np.array(sorted(word_buckets(words)), dtype="<i4").tobytes())
+            stats.append(statistics(text, words))
         yield pa.RecordBatch.from_arrays(
-            [batch["_order"], batch["quality"], pa.array([sorted(word_buckets(w)) for w in words], pa.list_(pa.int32())), pa.array(stats, pa.list_(pa.float64()))],
+            [batch["_order"], batch["quality"], pa.array(buckets, pa.binary()), pa.array(stats, pa.list_(pa.float64()))],
             ["_order", "quality", "buckets", "stats"],
         )
 
@@ -141,33 +144,32 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> Machine:
     chosen = chosen.orderBy("_order", "doc_id").limit(max_rows)
     # At most max_rows pairs of numbers.
     rows = docs.select(F.col("doc_id"), F.col("text").cast("binary").alias("_bytes")).join(F.broadcast(chosen), "doc_id")
-    found = rows.select("_order", "quality", "_bytes").mapInArrow(_described, "_order long, quality int, buckets array<int>, stats array<double>")
+    found = rows.select("_order", "quality", "_bytes").mapInArrow(_described, "_order long, quality int, buckets binary, stats array<double>")
     got = found.orderBy("_order", "stats").limit(max_rows).collect()
-    return fit([(r["buckets"], r["stats"], int(r["quality"] >= 1)) for r in got])
+    return fit([(np.frombuffer(r["buckets"], dtype="<i4"), r["stats"], int(r["quality"] >= 1)) for r in got])
 
 
-def classify(docs: DataFrame, machine: Machine) -> DataFrame:
-    """``docs`` with ``score``, the share of quality from 0 to 1 of the whole text.
+def classify(docs: DataFrame, machine: Machine, into: str = "score") -> DataFrame:
+    """``docs`` with the column ``into``, the share of quality from 0 to 1 of the whole text.
 
     Null text scores as empty text.  Repeated rows score alike; an empty table
-    gives none.  A column named ``score`` is replaced.
+    gives none.  A column of that name is replaced.
     """
-    base = docs.drop("score")
+    base = docs.drop(into)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    kept = base.withColumn("_bytes", F.col("text").cast("binary"))
-    schema = base.withColumn("score", F.lit(0.0)).schema
+    schema = base.withColumn(into, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             scores = []
-            for text in byte_rows(batch["_bytes"]):
+            for value in batch["text"]:  # one text at a time, out of the batch's own memory
+                text = (value.as_py() or "").encode()
                 words = text.split()
                 scores.append(m.score(*m.features(word_buckets(words), np.array(statistics(text, words)))))
-            names = batch.schema.names[:-1]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, into])
 
-    return kept.mapInArrow(run, schema)
+    return base.mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None = None, max_rows: int = 6000) -> DataFrame:
@@ -175,10 +177,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None = N
 
     The model is fitted on ``labelled``, the table that ``labels`` are about, by default ``docs`` itself.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
     machine = train(docs if labelled is None else labelled, labels, max_rows)
-    scored = classify(docs.select("text", F.struct(*columns).alias("_of")), machine)
-    return scored.where(F.col("score") >= 0.5).select("_of.*")
+    scored = classify(docs, machine, "_quality")
+    return scored.where(F.col("_quality") >= 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
