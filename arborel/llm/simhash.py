@@ -148,11 +148,14 @@ def spanning_links(shard: np.ndarray, fps: np.ndarray, radius: int, pairs: int =
     return linked, label[linked]
 
 
-def find_links(nodes: DataFrame, seeds: int, radius: int, chunk: int = 4096) -> DataFrame:
-    """Links (a, b) between ids of ``nodes`` (id, fps) that connect what lies within ``radius`` bits."""
-    per = 64 // BLOCK_BITS
+def find_links(nodes: DataFrame, seeds: int, radius: int, chunk: int = 4096, measured: int | None = None) -> DataFrame:
+    """Links (a, b) between ids of ``nodes`` (id, fps) that connect what lies within ``radius`` bits.
+
+    Blocks come from all ``seeds`` fingerprints; the radius counts the bits of the first ``measured``.
+    """
+    per, measured = 64 // BLOCK_BITS, measured or seeds
     blocks = [F.shiftrightunsigned(F.get("fps", F.lit(s)), BLOCK_BITS * k).bitwiseAND((1 << BLOCK_BITS) - 1) + F.lit((s * per + k) << BLOCK_BITS) for s in range(seeds) for k in range(per)]
-    rows = nodes.select("id", "fps", F.explode(F.array(*blocks)).alias("_block"))
+    rows = nodes.select("id", F.slice("fps", 1, measured).alias("fps"), F.explode(F.array(*blocks)).alias("_block"))
     # Shards of more than a chunk; each has that many of the nodes, so there are few, and their table's size is known.
     large = rows.groupBy("_block").agg(F.count("*").alias("_n")).where(F.col("_n") > chunk)
     large = written(large.select("_block", F.ceil(F.col("_n") / chunk).cast("int").alias("_chunks")), "large-shards")
@@ -174,7 +177,7 @@ def find_links(nodes: DataFrame, seeds: int, radius: int, chunk: int = 4096) ->
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             flat = batch["fps"].flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            held.append((batch["id"].to_numpy(zero_copy_only=False), batch["_shard"].to_numpy(zero_copy_only=False), flat.reshape(-1, seeds)))
+            held.append((batch["id"].to_numpy(zero_copy_only=False), batch["_shard"].to_numpy(zero_copy_only=False), flat.reshape(-1, measured)))
             if sum(len(h[0]) for h in held) < enough:
                 continue
             ids, shards, fps = (np.concatenate(x) for x in zip(*held))
@@ -217,12 +220,12 @@ def components(links: DataFrame) -> DataFrame:
     return found.join(written(least, "smallest"), "to").select("id", "component")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, seeds: int = 1, radius: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, seeds: int = 1, radius: int = 3, measured: int | None = None) -> DataFrame:
     """(doc_id, fps, component_id) of every row of ``docs``.
 
     Fingerprints of ``seeds`` times 64 bits over shingles of ``words`` words
-    link at ``radius`` or fewer differing bits if they also agree on one block
-    of 16 bits.  With one seed and a radius up to 3 some block must agree and no
+    link at ``radius`` or fewer differing bits (of the first ``measured`` times
+    64) if they also agree on one block of 16 bits.  With one seed and a radius up to 3 some block must agree and no
     link is lost; with more, the loss is what :func:`recall` says.
 
     ``component_id`` is the smallest ``doc_id`` reachable over links.  Null text
@@ -234,7 +237,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, seeds: int = 1, radius: int
     fps = written(with_fingerprints(docs, words, seeds), "fingerprints")
     nodes = written(fps.groupBy("fps").agg(F.min("doc_id").alias("id")).where(F.col("id").isNotNull()), "nodes")
     # An id on several fingerprints joins them: they are one document's.
-    found = components(find_links(nodes, seeds, radius))
+    found = components(find_links(nodes, seeds, radius, measured=measured))
     placed = nodes.join(found, "id", "left").select("fps", F.coalesce("component", "id").alias("component_id"))
     return fps.join(placed, "fps", "left").select("doc_id", "fps", "component_id")
 
@@ -246,21 +249,22 @@ def recall(similarity: float, seeds: int) -> float:
     return float(1 - (1 - bit**BLOCK_BITS) ** (seeds * 64 // BLOCK_BITS))
 
 
-def bits_at(similarity: float, seeds: int) -> int:
-    """Expected differing bits of two texts of this Jaccard similarity, rounded up."""
-    return int(np.ceil(64 * seeds * np.arccos(2 * similarity / (1 + similarity)) / np.pi))
+def bits_at(similarity: float, seeds: int, slack: float = 1.5) -> int:
+    """Differing bits up to which texts count as of this Jaccard similarity: the expected number and ``slack`` deviations."""
+    bit = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.ceil(64 * seeds * bit + slack * np.sqrt(64 * seeds * bit * (1 - bit))))
 
 
-def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds: int = 6) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds: int = 12, measured: int = 8) -> DataFrame:
     """The rows of ``docs`` less all but the smallest ``doc_id`` of each group of near-duplicates.
 
-    Near means about ``similarity`` on sets of ``words``-word shingles, as the
-    wide fingerprint measures it.  Of rows that share a kept ``doc_id`` the one
-    with the smallest text stays; rows whose ``doc_id`` is null can't be
-    referred to and stay.  Columns are those of ``docs``.
+    Near means ``similarity`` on shingles of ``words`` words as the wide
+    fingerprint measures it, see :func:`bits_at`.  Of rows that share a kept
+    ``doc_id`` the one with the smallest text stays; rows whose ``doc_id`` is
+    null can't be referred to and stay.  Columns are those of ``docs``.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    groups = near_duplicates(docs, words, seeds, bits_at(similarity, seeds))
+    groups = near_duplicates(docs, words, seeds, bits_at(similarity, measured), measured)
     keep = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
     rows = docs.where(F.col("doc_id").isNotNull())
     rows = rows.join(keep, F.col("doc_id").cast("long") == F.col("_keep")).drop("_keep")
