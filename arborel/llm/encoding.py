@@ -81,9 +81,10 @@ def pack(ids: list[int]) -> bytes:
 class Encoder:
     """Encodes texts with one tokenizer file; ``cache_words`` bounds its memory."""
 
-    def __init__(self, path: str, cache_words: int = 700_000):
+    def __init__(self, path: str, cache_words: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.words, self.bare, self.cores = Generations(cache_words), Generations(cache_words // 8), Generations(cache_words // 2)
+        self.word_counts, self.bare_counts = Generations(cache_words), Generations(cache_words // 8)
         self.pieces = None
         if path.endswith(".model"):
             import sentencepiece
@@ -119,56 +120,75 @@ class Encoder:
         return [b"".join(self._parts(t)) for t in texts]
 
     def counts(self, texts: list[str]) -> list[int]:
-        return [len(b) // 4 for b in self.encode(texts)]
+        """The number of ids of each text; caches numbers, not ids."""
+        out = []
+        for text in texts:
+            bare, rest = self._cut(text)
+            if bare is None:
+                out.append(len(self.whole([text])[0]))
+                continue
+            n = sum(self.bare_counts.take(bare, self._new_counts)) if bare else 0
+            if rest:
+                n += sum(self.word_counts.take(rest, lambda w: self._new_counts(self._spaced(w))))
+            out.append(n)
+        return out
+
+    def _new_counts(self, segments: list[str]) -> list[int]:
+        return [len(b) // 4 for b in self._new(segments)]
 
     def _parts(self, text: str) -> list[bytes]:
-        if self.mode == "whole" or self.special.search(text):
+        bare, rest = self._cut(text)
+        if bare is None:
             return [pack(ids) for ids in self.whole([text])]
+        out = self.bare.take(bare, self._new) if bare else []
+        return out + self.words.take(rest, lambda w: self._new(self._spaced(w))) if rest else out
+
+    def _cut(self, text: str) -> tuple[list[str] | None, list[str]]:
+        """Segments as they stand, and those that :meth:`_spaced` completes; None if the text must stay whole."""
+        if self.mode == "whole" or self.special.search(text):
+            return None, []
         if self.mode == "words":
             low = text.lower()
             # Lower-casing first must not change what composition does, nor meet the letter whose case depends on its place.
             if "\u03a3" not in text and is_normalized("NFC", text) and is_normalized("NFC", low):
                 text = low
-            return self.words.take(text.replace("\n", " ").split(" "), self._new)
+            return [], text.replace("\n", " ").split(" ")
         if _ODD.search(text):
-            return self.bare.take(_SEGMENT.findall(text), self._new)
-        out: list[bytes] = []
-        for n, line in enumerate(text.split("\n")):
-            first, *rest = line.split(" ")
-            out += self.bare.take(["\n", first] if n else [first], self._new)
-            out += self.words.take(rest, self._spaced)
-        return out
+            return _SEGMENT.findall(text), []
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return [first], rest
 
-    def _spaced(self, words: list[str]) -> list[bytes]:
-        return self._new([" " + w for w in words])
+    def _spaced(self, words: list[str]) -> list[str]:
+        """In byte-level texts a word is preceded by a space, unless it begins a line."""
+        return words if self.mode == "words" else [w if w[:1] == "\n" else " " + w for w in words]
 
     def _new(self, segments: list[str]) -> list[bytes]:
-        """Ids of segments that no cache holds: plain words by their letters and their marks, others by the library whole."""
-        plain = []
+        """Ids of segments that no cache holds: plain words by their parts, others by the library whole."""
+        plain: list[tuple[str, str, str] | None] = []
         for s in segments:
+            line = self.mode == "spaced" and s[:1] == "\n"
             lead = self.mode == "spaced" and s[:1] == " "
-            m = _PLAIN.fullmatch(s, int(lead))
-            plain.append((s[: m.end(1)], m[2]) if m and m[1] else None)
+            m = _PLAIN.fullmatch(s, int(lead or line))
+            plain.append(("\n" * line, s[int(line) : m.end(1)], m[2]) if m and (m[1] or line) else None)
         rest = iter(self.whole([s for s, p in zip(segments, plain) if p is None]))
-        need = [x for p in plain if p for x in p]
-        found = iter(self.cores.take(need, self._model))
-        return [next(found) + next(found) if p else pack(next(rest)) for p in plain]
+        found = iter(self.cores.take([x for p in plain if p for x in p], self._model))
+        return [next(found) + next(found) + next(found) if p else pack(next(rest)) for p in plain]
 
     def _model(self, pieces: list[str]) -> list[bytes]:
         tokenize, out = self.library.model.tokenize, []
         for s in pieces:
             if self.mode == "words":
                 s = s.lower()
-            if not s.isascii() or " " in s:
+            if not (s.isascii() and s.isprintable()) or " " in s:
                 s = s.encode().decode("latin-1").translate(_LETTERS)
             out.append(pack([t.id for t in tokenize(s)]) if s else b"")
         return out
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_words: int = 200_000) -> Encoder:
     """One encoder a worker process and file; Python workers are reused across tasks."""
-    return Encoder(path)
+    return Encoder(path, cache_words)
 
 
 @lru_cache(maxsize=8)

@@ -51,6 +51,7 @@ def write_tokens(
     row_group_bytes: int = 32 << 20,
     page_bytes: int = 256 << 10,
     text_bytes: int = 4 << 20,
+    cache_words: int = 700_000,
 ) -> None:
     """Encode ``text`` of every row of ``docs`` and write the files to ``path``.
 
@@ -68,7 +69,7 @@ def write_tokens(
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, seq = encoder(tokenizer), 0
+        enc, seq = encoder(tokenizer, cache_words), 0
         for batch in batches:
             texts, start = batch["text"], 0
             while start < len(texts):  # whole texts, a bounded number of bytes at a time
