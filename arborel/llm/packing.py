@@ -27,11 +27,11 @@ CAPACITIES = (512, 1024, 2048, 4096)
 OVERHEAD = 64
 
 
-def token_lengths(docs: DataFrame, tokenizer: str, end_tokens: int = 1) -> DataFrame:
+def token_lengths(docs: DataFrame, tokenizer: str, end_tokens: int = 1, cache_words: int = 600_000) -> DataFrame:
     """(doc_id, n_tokens) of every row's whole text, with ``end_tokens`` for the end of the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, cache_words)
         for batch in batches:
             for start in range(0, len(batch), 256):
                 part = batch.slice(start, 256)
