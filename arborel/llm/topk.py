@@ -1,13 +1,13 @@
 """Exact top-k search by inner product over an impact-ordered index.
 
-Vectors are quantised to integers and dealt into shards.  A shard's index holds,
-for each dimension, the vectors in order of their value: its posting segments
-are the runs of equal value, the impact.  A query takes the segments of all
-dimensions score at a time, those of the largest contribution first, into
-integer accumulators.  It stops only on proof: what a vector can still gain is
-bounded by the first segment not taken in each dimension it wasn't met in, and
-when few vectors can still reach the k-th best score, those are rescored
-exactly.  Nothing is approximate; the bound decides only how early it stops.
+Vectors are quantised to integers and dealt into shards.  A shard's index sorts
+its postings into segments of descending quantised impact, the magnitude of a
+component.  A block of queries takes the segments score at a time, those of the
+highest impact first, into exact integer accumulators.  It stops only on proof:
+what a vector can still gain is at most the query's length times the length of
+the vector's components in segments not yet taken, and when few vectors can
+still reach the k-th best score, those are rescored exactly.  Nothing is
+approximate; the bound decides only how early a search stops.
 """
 
 from __future__ import annotations
@@ -29,14 +29,18 @@ def quantised(embedding: Column, scale: int = 256) -> Column:
     return F.when(finite, F.transform(x, lambda v: F.floor(v * scale).cast("long")))
 
 
+#: Share of a shard's postings, by descending impact, that lies in the segments up to each level but the last.
+LEVELS = (0.25, 0.6)
+
+
 def build_index(vectors: DataFrame, scale: int = 256, shard_rows: int = 8192) -> DataFrame:
-    """Index rows (shard, n, dims, ids, values, order) of ``vectors`` (vec_id, embedding).
+    """Index rows (shard, n, dims, ids, impacts, levels) of ``vectors`` (vec_id, embedding).
 
-    ``values`` holds the shard's integer vectors by row, ``order`` for each
-    dimension the rows in ascending order of value.  Shards hold about
-    ``shard_rows`` vectors whatever the number of rows.  Vectors that are null
-    or hold null or non-finite components, and rows without a vec_id, are left
-    out.  Shorter vectors count as zero in the dimensions they lack.
+    ``impacts`` holds the shard's integer vectors by row, ``levels`` for each
+    posting the segment it lies in, 0 being the highest impacts.  Shards hold
+    about ``shard_rows`` vectors whatever the number of rows.  Vectors that are
+    null or hold null or non-finite components, and rows without a vec_id, are
+    left out.  Shorter vectors count as zero in the dimensions they lack.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), scale).alias("v"))
     rows = written(rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()), "quantised")
@@ -49,14 +53,16 @@ def build_index(vectors: DataFrame, scale: int = 256, shard_rows: int = 8192) ->
         for batch in batches:
             for k in range(len(batch)):
                 part = batch["rows"][k].values
-                ids, values = part.field("vec_id").to_numpy(), _matrix(part.field("v"))
-                order = np.argsort(values, axis=0, kind="stable").T.astype("<i4")
+                ids, impacts = part.field("vec_id").to_numpy(), _matrix(part.field("v"))
+                size = np.abs(impacts)
+                cuts = np.quantile(size, [1 - share for share in LEVELS])
+                levels = sum((size < c).astype(np.uint8) for c in cuts)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["shard"][k : k + 1], pa.array([len(ids)], pa.int32()), pa.array([values.shape[1]], pa.int32()), pa.array([ids.astype("<i8").tobytes()]), pa.array([values.astype("<i8").tobytes()]), pa.array([order.tobytes()])],
-                    ["shard", "n", "dims", "ids", "values", "order"],
+                    [batch["shard"][k : k + 1], pa.array([len(ids)], pa.int32()), pa.array([impacts.shape[1]], pa.int32()), pa.array([ids.astype("<i8").tobytes()]), pa.array([impacts.astype("<i8").tobytes()]), pa.array([levels.tobytes()])],
+                    ["shard", "n", "dims", "ids", "impacts", "levels"],
                 )
 
-    return packed.mapInArrow(build, "shard int, n int, dims int, ids binary, values binary, order binary")
+    return packed.mapInArrow(build, "shard int, n int, dims int, ids binary, impacts binary, levels binary")
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
@@ -68,60 +74,73 @@ def _matrix(lists: pa.Array) -> np.ndarray:
 
 
 class Shard:
-    """One shard's index, ready for queries."""
-
-    def __init__(self, ids: np.ndarray, values: np.ndarray, order: np.ndarray):
-        self.ids, self.values, self.order = ids, values, order
-        self.sorted = np.take_along_axis(values, order.T, axis=0).T  # impacts along each dimension's postings
-
-    def top(self, own: int, query: np.ndarray, k: int, levels: int = 12) -> tuple[np.ndarray, np.ndarray]:
-        """The k best (id, score) other than ``own``: larger score first, then smaller id."""
-        n, dims = len(self.ids), min(len(query), self.values.shape[1])
-        q = np.zeros(self.values.shape[1], dtype=np.int64)
-        q[:dims] = query[:dims]
-        live = np.nonzero(q)[0]
-        # Contributions fall from the one end of a dimension's postings for q > 0 and from the other for q < 0.
-        heads = np.where(q > 0, q * self.sorted[:, -1], q * self.sorted[:, 0])
-        tails = np.where(q > 0, q * self.sorted[:, 0], q * self.sorted[:, -1])
-        score, open_ = np.zeros(n, dtype=np.int64), np.full(n, len(live), dtype=np.int64)
-        taken = np.zeros(len(q), dtype=np.int64)
-        top, low = int(heads[live].max(initial=0)), int(tails[live].min(initial=0))
-        few = max(4 * k, n // 50)
-        rest = np.arange(n)
-        for frontier in np.linspace(top, low - 1, levels + 1)[1:]:
-            bound = int(np.floor(frontier))  # every segment of a contribution above it is taken in this round
-            for d in live:
-                at = self.sorted[d]
-                if q[d] > 0:
-                    end = n - int(np.searchsorted(at, bound // int(q[d]), "right"))
-                    rows = self.order[d, n - end : n - taken[d]]
+    """One shard's index, ready for blocks of queries."""
+
+    def __init__(self, ids: np.ndarray, impacts: np.ndarray, levels: np.ndarray):
+        self.ids, self.impacts = ids, impacts
+        self.largest = float(np.abs(impacts).max(initial=0))
+        self.segments = [np.where(levels == k, impacts, 0).T for k in range(len(LEVELS) + 1)]
+        # Length of each vector's components beyond a level, rounded up.
+        self.beyond = [np.sqrt((np.where(levels > k, impacts, 0).astype(np.float64) ** 2).sum(axis=1)) * (1 + 1e-12) for k in range(len(LEVELS))]
+
+    def _number(self, queries: np.ndarray) -> type:
+        """A type in which all sums of products are exact."""
+        bound = self.largest * float(np.abs(queries).max(initial=0)) * queries.shape[1]
+        return np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64
+
+    def top(self, own: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the k best (ids, scores) other than its ``own`` id: larger score first, then smaller id."""
+        n, dims = self.impacts.shape
+        q = np.zeros((len(queries), dims), dtype=np.int64)
+        shared = min(dims, queries.shape[1])
+        q[:, :shared] = queries[:, :shared]
+        kind = self._number(q)
+        length = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1)) * (1 + 1e-12)
+        score = np.zeros((len(q), n), dtype=kind)
+        open_ = np.arange(len(q))
+        found: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(q)
+        few = max(4 * k + 1, n // 25)
+        for level, segment in enumerate(self.segments):
+            score += q[open_].astype(kind) @ segment.astype(kind)
+            last = level == len(LEVELS)
+            still = []
+            for r, query in enumerate(open_):
+                if last or n <= few:
+                    rest = np.arange(n) if n <= few else self._leaders(score[r], k)
                 else:
-                    end = int(np.searchsorted(at, -(bound // int(-q[d])), "left"))
-                    rows = self.order[d, taken[d] : end]
-                if end > taken[d]:
-                    score[rows] += q[d] * self.values[rows, d]
-                    open_[rows] -= 1
-                    taken[d] = end
-            if n <= few:
-                break
-            # No vector gains more than the frontier in a dimension where it wasn't met.
-            most = score + open_ * bound
-            lead = np.argpartition(most, n - few)[n - few :]
-            lead = lead[self.ids[lead] != own]
-            if len(lead) < k:
-                continue
-            exact = self.values[lead] @ q
-            kth = np.partition(exact, len(lead) - k)[len(lead) - k]
-            rest = np.nonzero(most >= kth)[0]
-            if len(rest) <= few:
+                    rest = self._possible(score[r], self.beyond[level] * length[query], q[query], own[query], k, few)
+                if rest is None:
+                    still.append(r)
+                    continue
+                rest = rest[self.ids[rest] != own[query]]
+                exact = self.impacts[rest] @ q[query]
+                best = np.lexsort((self.ids[rest], -exact))[:k]
+                found[query] = (self.ids[rest][best], exact[best])
+            open_, score = open_[still], score[still]
+            if not len(open_):
                 break
-        rest = rest[self.ids[rest] != own]
-        exact = self.values[rest] @ q
-        best = np.lexsort((self.ids[rest], -exact))[:k]
-        return self.ids[rest][best], exact[best]
-
-
-def search(index: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, block: int = 512) -> DataFrame:
+        return found
+
+    def _leaders(self, score: np.ndarray, k: int) -> np.ndarray:
+        """All rows that reach the score of place k + 1, whose scores are exact: the query's own may be among them."""
+        kth = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
+        rows = np.nonzero(score >= kth)[0]
+        own_may_repeat = len(np.unique(self.ids[rows])) < len(rows)
+        return np.arange(len(score)) if own_may_repeat else rows
+
+    def _possible(self, score: np.ndarray, gain: np.ndarray, query: np.ndarray, own: int, k: int, few: int) -> np.ndarray | None:
+        """Rows that may be among the k best, if they are few: those that may reach the k-th exact score of the leaders."""
+        lead = np.argpartition(score, len(score) - 4 * k - 1)[len(score) - 4 * k - 1 :]
+        lead = lead[self.ids[lead] != own]
+        if len(lead) < k:
+            return None
+        exact = self.impacts[lead] @ query
+        kth = np.partition(exact, len(exact) - k)[len(exact) - k]
+        rows = np.nonzero(score + gain >= kth)[0]
+        return rows if len(rows) <= few else None
+
+
+def search(index: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, block: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` best rows of ``index`` for each query (vec_id, embedding).
 
     Rows with the query's own vec_id don't compete.  Ties go to the smaller
@@ -151,20 +170,20 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, b
                 if batch["shard"][r].as_py() != last:
                     last, n = batch["shard"][r].as_py(), batch["n"][r].as_py()
                     load = lambda c, t, r=r, batch=batch: np.frombuffer(batch[c][r].as_buffer(), dtype=t)
-                    shard = Shard(load("ids", "<i8"), load("values", "<i8").reshape(n, -1), load("order", "<i4").reshape(-1, n))
+                    shard = Shard(load("ids", "<i8"), load("impacts", "<i8").reshape(n, -1), load("levels", np.uint8).reshape(n, -1))
                 part = batch["queries"][r].values
-                rows = _matrix(part.field("q"))
-                out = [(own, *shard.top(own, rows[i], k)) for i, own in enumerate(part.field("query_id").to_pylist())]
+                own = part.field("query_id").to_numpy()
+                out = shard.top(own, _matrix(part.field("q")), k)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.repeat(np.array([o[0] for o in out], dtype=np.int64), [len(o[1]) for o in out])),
+                        pa.array(np.repeat(own, [len(o[0]) for o in out])),
+                        pa.array(np.concatenate([o[0] for o in out]).astype(np.int64)),
                         pa.array(np.concatenate([o[1] for o in out]).astype(np.int64)),
-                        pa.array(np.concatenate([o[2] for o in out]).astype(np.int64)),
                     ],
                     ["query_id", "vec_id", "score"],
                 )
 
-    found = met.select("shard", "n", "ids", "values", "order", "queries").mapInArrow(run, "query_id long, vec_id long, score long")
+    found = met.select("shard", "n", "ids", "impacts", "levels", "queries").mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id")))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -56,16 +56,25 @@ def test_topk_few_and_none(spark):
     assert topk.op1_topk(df.limit(0)).count() == 0
 
 
-def test_topk_stops_early():
+@pytest.mark.parametrize("scale", [1, 3_000_000, 10**9])
+def test_topk_of_one_shard(scale):
     import numpy as np
 
     r = np.random.default_rng(0)
-    values = r.integers(-20, 20, (3000, 8))
-    values[7] = 400  # one vector dominates
-    shard = topk.Shard(np.arange(3000), values, np.argsort(values, axis=0, kind="stable").T)
-    ids, scores = shard.top(-1, np.full(8, 9), 3)
-    want = np.lexsort((np.arange(3000), -(values @ np.full(8, 9))))[:3]
-    assert ids.tolist() == want.tolist() and scores.tolist() == (values @ np.full(8, 9))[want].tolist()
+    impacts = r.integers(-20, 20, (3000, 8)) * scale
+    impacts[7] = 400 * scale  # one vector dominates
+    impacts[100:140] = impacts[50]  # ties over the last place
+    size = np.abs(impacts)
+    levels = sum((size < c).astype(np.uint8) for c in np.quantile(size, [1 - x for x in topk.LEVELS]))
+    ids = np.arange(3000)
+    ids[20:30] = 5  # repeated ids
+    own, queries = np.array([-1, 5, 50, 7]), np.array([[9] * 8, impacts[5] // scale, impacts[50] // scale, [0] * 8])
+    got = topk.Shard(ids, impacts, levels).top(own, queries, 5)
+    for q, o, (i, s) in zip(queries, own, got):
+        score = impacts @ q
+        keep = np.nonzero(ids != o)[0]
+        best = keep[np.lexsort((ids[keep], -score[keep]))[:5]]
+        assert i.tolist() == ids[best].tolist() and s.tolist() == score[best].tolist()
 
 
 # -- 2 -------------------------------------------------------------------
