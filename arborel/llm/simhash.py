@@ -153,9 +153,25 @@ def find_links(nodes: DataFrame, seeds: int, radius: int, chunk: int = 4096, mea
 
     Blocks come from all ``seeds`` fingerprints; the radius counts the bits of the first ``measured``.
     """
-    per, measured = 64 // BLOCK_BITS, measured or seeds
+    measured = measured or seeds
+    rows = _dealt(nodes.select("id", "fps"), seeds, measured, chunk)
+
+    def links(ids: np.ndarray, shards: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        a, b = spanning_links(shards, fps, radius)
+        return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, shards, fps in _whole_shards(batches, ("id",), measured):
+            yield links(ids, shards, fps)
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _dealt(nodes: DataFrame, seeds: int, measured: int, chunk: int) -> DataFrame:
+    """``nodes`` with the first ``measured`` of their ``fps``, once for each ``_shard`` (block and pair of chunks), sorted by it."""
+    per, columns = 64 // BLOCK_BITS, [c for c in nodes.columns if c != "fps"]
     blocks = [F.shiftrightunsigned(F.get("fps", F.lit(s)), BLOCK_BITS * k).bitwiseAND((1 << BLOCK_BITS) - 1) + F.lit((s * per + k) << BLOCK_BITS) for s in range(seeds) for k in range(per)]
-    rows = nodes.select("id", F.slice("fps", 1, measured).alias("fps"), F.explode(F.array(*blocks)).alias("_block"))
+    rows = nodes.select(*columns, F.slice("fps", 1, measured).alias("fps"), F.explode(F.array(*blocks)).alias("_block"))
     # Shards of more than a chunk; each has that many of the nodes, so there are few, and their table's size is known.
     large = rows.groupBy("_block").agg(F.count("*").alias("_n")).where(F.col("_n") > chunk)
     large = written(large.select("_block", F.ceil(F.col("_n") / chunk).cast("int").alias("_chunks")), "large-shards")
@@ -165,30 +181,27 @@ def find_links(nodes: DataFrame, seeds: int, radius: int, chunk: int = 4096, mea
     pairs = F.when(F.col("_chunks") == 1, F.array(F.lit(0).cast("long"))).otherwise(
         F.transform(other, lambda j: F.least(own, j).cast("long") * (1 << 16) + F.greatest(own, j))
     )
-    rows = rows.select("id", "fps", "_block", F.explode(pairs).alias("_pair"))
+    rows = rows.select(*columns, "fps", "_block", F.explode(pairs).alias("_pair"))
     shard = F.shiftleft(F.col("_block").cast("long"), 32) + F.col("_pair")
-    rows = rows.select("id", "fps", shard.alias("_shard")).repartition("_shard").sortWithinPartitions("_shard")
-
-    def links(ids: np.ndarray, shards: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        a, b = spanning_links(shards, fps, radius)
-        return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+    return rows.select(*columns, "fps", shard.alias("_shard")).repartition("_shard").sortWithinPartitions("_shard")
 
-    def run(batches: Iterator[pa.RecordBatch], enough: int = 20_000) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        for batch in batches:
-            flat = batch["fps"].flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            held.append((batch["id"].to_numpy(zero_copy_only=False), batch["_shard"].to_numpy(zero_copy_only=False), flat.reshape(-1, measured)))
-            if sum(len(h[0]) for h in held) < enough:
-                continue
-            ids, shards, fps = (np.concatenate(x) for x in zip(*held))
-            whole = int(np.searchsorted(shards, shards[-1], "left"))  # rows are sorted; the last shard may go on
-            if whole:
-                yield links(ids[:whole], shards[:whole], fps[:whole])
-            held = [(ids[whole:], shards[whole:], fps[whole:])]
-        if held:
-            yield links(*(np.concatenate(x) for x in zip(*held)))
 
-    return rows.mapInArrow(run, "a long, b long")
+def _whole_shards(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], measured: int, enough: int = 20_000) -> Iterator[tuple[np.ndarray, ...]]:
+    """``columns``, ``_shard`` and ``fps`` of sorted rows as arrays, some whole shards at a time."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        flat = batch["fps"].flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        held.append((*(batch[c].to_numpy(zero_copy_only=False) for c in (*columns, "_shard")), flat.reshape(-1, measured)))
+        if sum(len(h[0]) for h in held) < enough:
+            continue
+        rows = tuple(np.concatenate(x) for x in zip(*held))
+        shards = rows[-2]
+        whole = int(np.searchsorted(shards, shards[-1], "left"))  # rows are sorted; the last shard may go on
+        if whole:
+            yield tuple(x[:whole] for x in rows)
+        held = [tuple(x[whole:] for x in rows)]
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -255,16 +268,135 @@ def bits_at(similarity: float, seeds: int, slack: float = 1.5) -> int:
     return int(np.ceil(64 * seeds * bit + slack * np.sqrt(64 * seeds * bit * (1 - bit))))
 
 
+def shared_needed(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """How many elements sets of ``n`` and ``m`` must share for this Jaccard similarity."""
+    return np.ceil((n + m) * (similarity / (1 + similarity)) - 1e-9).astype(np.int64)
+
+
+def with_shingle_sets(docs: DataFrame, words: int, seeds: int) -> DataFrame:
+    """(doc_id, digest, n, fps) of every row: 128 bits of its set of shingles, the set's size and its fingerprints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, sizes, fps = [], [], []
+            for text in byte_rows(batch["_bytes"]):
+                found = np.unique(shingle_hashes(text, words))
+                digests.append(xxhash.xxh3_128_digest(found.tobytes()))
+                sizes.append(len(found))
+                fps.append(fingerprint(found, seeds))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "digest", "n", "fps"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_bytes"))
+    return rows.mapInArrow(run, "doc_id long, digest binary, n int, fps array<long>")
+
+
+def _proposed(shard: np.ndarray, n: np.ndarray, fps: np.ndarray, radius: int, similarity: float, pairs: int = 2_000_000) -> np.ndarray:
+    """Places of the nodes with a partner in their shard within ``radius`` bits whose set's size allows the similarity.
+
+    A pair that agrees on a block of the fingerprints at hand counts in the first such block's shards only.
+    """
+    forest = Forest(shard, fps)
+    block, near = shard >> 32, np.zeros(len(shard), dtype=bool)
+    _, inverse, size = np.unique(shard, return_inverse=True, return_counts=True)
+    todo = np.nonzero(size[inverse] > 1)[0]
+    share = np.cumsum(size[inverse][todo]) // pairs
+    for k in np.split(todo, np.nonzero(np.diff(share))[0] + 1):
+        for a, b in forest.within(k, radius):
+            fits = shared_needed(n[a], n[b], similarity) <= np.minimum(n[a], n[b])
+            a, b = a[fits], b[fits]
+            # Blocks in the order of _dealt: by fingerprint, the lowest bits first.
+            same = np.ascontiguousarray(fps[a] ^ fps[b]).astype("<u8").view("<u2") == 0
+            at = block[a] >> BLOCK_BITS
+            first = np.where(same.any(axis=1), same.argmax(axis=1), at)
+            near[a[first == at]] = near[b[first == at]] = True
+    return np.nonzero(near)[0]
+
+
+def similar_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the same sets as all pairs whose exact Jaccard similarity is at least ``similarity``."""
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    sizes = np.array([len(sets[k]) for k in order], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    _, flat = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
+    label, mark = np.arange(len(sets)), np.zeros(int(flat.max(initial=0)) + 1, dtype=bool)
+    for k in range(len(sets)):
+        # Only sets of up to n / similarity elements can be similar to one of n.
+        last = int(np.searchsorted(sizes, sizes[k] / similarity + 1e-9, "right"))
+        if not sizes[k] or last <= k + 1 or (label[k + 1 : last] == label[k]).all():
+            continue
+        own = flat[ends[k] - sizes[k] : ends[k]]
+        mark[own] = True
+        shared = np.add.reduceat(mark[flat[ends[k] : ends[last - 1]]], ends[k : last - 1] - ends[k], dtype=np.int64)
+        mark[own] = False
+        hit = k + 1 + np.nonzero(shared >= shared_needed(sizes[k], sizes[k + 1 : last], similarity))[0]
+        label = _union(label, np.full(len(hit), k), hit)
+    linked = np.nonzero(label != np.arange(len(sets)))[0]
+    return order[linked], order[label[linked]]
+
+
+def find_similar(docs: DataFrame, nodes: DataFrame, words: int, similarity: float, seeds: int, radius: int, measured: int, chunk: int = 4096) -> DataFrame:
+    """Links (a, b) between ids of ``nodes`` (id, n, fps) whose texts' exact Jaccard similarity is at least ``similarity``.
+
+    Fingerprints only say which nodes meet in which shard, a row for each; their
+    texts are joined in and compared as sets of shingles where the shard lies,
+    so a group of k near copies costs rows in proportion to k.
+    """
+    rows = _dealt(nodes.where(F.col("n") > 0).select("id", "n", "fps"), seeds, measured, chunk)
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, n, shards, fps in _whole_shards(batches, ("id", "n"), measured):
+            found = _proposed(shards, n, fps, radius, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[found]), pa.array(shards[found])], ["id", "_shard"])
+
+    met = written(rows.mapInArrow(propose, "id long, _shard long"), "proposals")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("_bytes"))
+    rows = met.join(texts, "id").repartition("_shard").sortWithinPartitions("_shard")
+
+    def links(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = similar_links(sets, similarity)
+        at = np.array(ids, dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(at[a]), pa.array(at[b])], ["a", "b"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, sets = None, [], []
+        for batch in batches:
+            for i, shard, text in zip(batch["id"].to_pylist(), batch["_shard"].to_pylist(), batch["_bytes"]):
+                if shard != now and ids:
+                    yield links(ids, sets)
+                    ids, sets = [], []
+                now = shard
+                ids.append(i)
+                sets.append(np.unique(shingle_hashes(text.as_py() or b"", words)))
+        if ids:
+            yield links(ids, sets)
+
+    return rows.mapInArrow(verify, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, words: int, similarity: float, seeds: int, measured: int) -> DataFrame:
+    """(doc_id, component_id) of every row of ``docs``, by exact Jaccard similarity of the pairs that :func:`find_similar` meets.
+
+    Texts with the same set of shingles are one node, those without words too.
+    """
+    sets = written(with_shingle_sets(docs, words, seeds), "fingerprints")
+    nodes = sets.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("fps").alias("fps"))
+    nodes = written(nodes.where(F.col("id").isNotNull()), "nodes")
+    found = components(find_similar(docs, nodes, words, similarity, seeds, bits_at(similarity, measured), measured))
+    placed = nodes.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
+    return sets.join(placed, "digest", "left").select("doc_id", "component_id")
+
+
 def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds: int = 12, measured: int = 8) -> DataFrame:
     """The rows of ``docs`` less all but the smallest ``doc_id`` of each group of near-duplicates.
 
-    Near means ``similarity`` on shingles of ``words`` words as the wide
-    fingerprint measures it, see :func:`bits_at`.  Of rows that share a kept
-    ``doc_id`` the one with the smallest text stays; rows whose ``doc_id`` is
-    null can't be referred to and stay.  Columns are those of ``docs``.
+    Near means an exact Jaccard similarity of at least ``similarity`` on sets of
+    shingles of ``words`` words; fingerprints propose the pairs, see
+    :func:`find_similar`.  Of rows that share a kept ``doc_id`` the one with the
+    smallest text stays; rows whose ``doc_id`` is null can't be referred to and
+    stay.  Columns are those of ``docs``.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    groups = near_duplicates(docs, words, seeds, bits_at(similarity, measured), measured)
+    groups = similar_groups(docs, words, similarity, seeds, measured)
     keep = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
     rows = docs.where(F.col("doc_id").isNotNull())
     rows = rows.join(keep, F.col("doc_id").cast("long") == F.col("_keep")).drop("_keep")

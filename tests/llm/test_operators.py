@@ -1,10 +1,12 @@
 """Each operator against brute force, and on nulls, empties, ties, repeated rows, clashing columns and empty tables."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +133,57 @@ def test_keep_one_of_each(spark):
     assert simhash.recall(0.8, 12) > 0.97
 
 
+def exact_groups(texts, similarity=0.8):
+    """The smallest id of each text's group, linking all pairs of at least this Jaccard similarity."""
+    sets = {i: {tuple(t.lower().split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in texts}
+    group = {i: i for i in sets}
+    for a, b in itertools.combinations(sets, 2):
+        if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9 and group[a] != group[b]:
+            low, high = sorted((group[a], group[b]))
+            group = {i: low if g == high else g for i, g in group.items()}
+    return group
+
+
+def test_near_duplicates_are_linked_by_exact_similarity(spark):
+    r = random.Random(7)
+    words = [f"w{k}" for k in range(3000)]
+    texts = []
+    for k in range(60):  # 5 shingles, 4 shared: 0.67
+        base = [r.choice(words) for _ in range(9)]
+        texts += [(10 * k, " ".join(base)), (10 * k + 1, " ".join([*base[:-1], "other"]))]
+    for k in range(60, 100):  # 200 words, changed in some places: from 0.6 to 0.75, apart from copies with one change
+        base = [r.choice(words) for _ in range(200)]
+        far, near = list(base), list(base)
+        for at in range(8, 8 + 12 * (6 + k % 5), 12):
+            far[at] = "changed"
+        near[150] = "changed"
+        texts += [(10 * k, " ".join(base)), (10 * k + 1, " ".join(far)), (10 * k + 2, " ".join(near))]
+    line = " ".join(words[:7])  # repeated words must not outweigh what differs
+    texts += [(5000 + k, " ".join([line] * 60 + words[100 * k + 100 : 100 * k + 112])) for k in range(3)]
+    want = exact_groups(texts)
+    assert len(set(want.values())) == 60 * 2 + 40 * 2 + 3
+    kept = simhash.keep_one_of_each(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(set(want.values()))
+
+
+def test_similar_links_by_brute_force():
+    r = random.Random(2)
+    sets = [np.array(sorted(r.sample(range(30), r.randrange(0, 14))), dtype=np.uint64) for _ in range(150)]
+    sets += [np.arange(k, k + 12, dtype=np.uint64) for k in range(50, 70)]
+    a, b = simhash.similar_links(sets, 0.8)
+    plain = [set(s.tolist()) for s in sets]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if plain[i] and len(plain[i] & plain[j]) >= 0.8 * len(plain[i] | plain[j])]
+
+    def joined(links):
+        group = list(range(len(sets)))
+        for i, j in links:
+            low, high = sorted((group[i], group[j]))
+            group = [low if g == high else g for g in group]
+        return group
+
+    assert joined(zip(a.tolist(), b.tolist())) == joined(pairs)
+
+
 # -- 3 -------------------------------------------------------------------
 def brute_licenses(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
