@@ -16,6 +16,7 @@ links it finds, so a group of k near copies costs about k rows, not k squared.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,10 @@ from pyspark.sql import functions as F
 from .common import byte_rows, written
 
 BLOCK_BITS = 16
+#: Deviations beyond the expected number of differing bits at which exact comparison still proposes a pair.
+SLACK = 3.0
+#: Sets of so few elements differ in a larger share of bits than the limit for large sets says: 4 against 5 in 3 of 16.
+SHORT, SHORT_BITS = 6, 3 / 16
 _BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.int64)
 _COLUMNS = (np.arange(8) * 256).astype(np.intp)
 #: Odd multipliers of the finaliser that derives further hashes from the first.
@@ -268,6 +273,13 @@ def bits_at(similarity: float, seeds: int, slack: float = 1.5) -> int:
     return int(np.ceil(64 * seeds * bit + slack * np.sqrt(64 * seeds * bit * (1 - bit))))
 
 
+def met(similarity: float, seeds: int, measured: int, slack: float = SLACK) -> float:
+    """Expected share of pairs of this similarity that agree on a block and also lie within the radius."""
+    bit, bits = np.arccos(2 * similarity / (1 + similarity)) / np.pi, 64 * measured
+    deviations = (bits_at(similarity, measured, slack) + 0.5 - bits * bit) / math.sqrt(bits * bit * (1 - bit))
+    return recall(similarity, seeds) * 0.5 * (1 + math.erf(deviations / math.sqrt(2)))
+
+
 def shared_needed(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
     """How many elements sets of ``n`` and ``m`` must share for this Jaccard similarity."""
     return np.ceil((n + m) * (similarity / (1 + similarity)) - 1e-9).astype(np.int64)
@@ -293,16 +305,21 @@ def with_shingle_sets(docs: DataFrame, words: int, seeds: int) -> DataFrame:
 def _proposed(shard: np.ndarray, n: np.ndarray, fps: np.ndarray, radius: int, similarity: float, pairs: int = 2_000_000) -> np.ndarray:
     """Places of the nodes with a partner in their shard within ``radius`` bits whose set's size allows the similarity.
 
+    Of pairs with a set of at most SHORT elements the radius is wider.
+
     A pair that agrees on a block of the fingerprints at hand counts in the first such block's shards only.
     """
     forest = Forest(shard, fps)
+    bits = 64 * fps.shape[1]
+    wide = max(radius, math.ceil(bits * SHORT_BITS + SLACK * math.sqrt(bits * SHORT_BITS * (1 - SHORT_BITS))))
     block, near = shard >> 32, np.zeros(len(shard), dtype=bool)
     _, inverse, size = np.unique(shard, return_inverse=True, return_counts=True)
     todo = np.nonzero(size[inverse] > 1)[0]
     share = np.cumsum(size[inverse][todo]) // pairs
     for k in np.split(todo, np.nonzero(np.diff(share))[0] + 1):
-        for a, b in forest.within(k, radius):
-            fits = shared_needed(n[a], n[b], similarity) <= np.minimum(n[a], n[b])
+        for a, b in forest.within(k, wide):
+            least = np.minimum(n[a], n[b])
+            fits = (shared_needed(n[a], n[b], similarity) <= least) & ((least <= SHORT) | (forest.distance(a, b) <= radius))
             a, b = a[fits], b[fits]
             # Blocks in the order of _dealt: by fingerprint, the lowest bits first.
             same = np.ascontiguousarray(fps[a] ^ fps[b]).astype("<u8").view("<u2") == 0
@@ -381,12 +398,12 @@ def similar_groups(docs: DataFrame, words: int, similarity: float, seeds: int, m
     sets = written(with_shingle_sets(docs, words, seeds), "fingerprints")
     nodes = sets.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("fps").alias("fps"))
     nodes = written(nodes.where(F.col("id").isNotNull()), "nodes")
-    found = components(find_similar(docs, nodes, words, similarity, seeds, bits_at(similarity, measured), measured))
+    found = components(find_similar(docs, nodes, words, similarity, seeds, bits_at(similarity, measured, SLACK), measured))
     placed = nodes.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     return sets.join(placed, "digest", "left").select("doc_id", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds: int = 12, measured: int = 8) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds: int = 24, measured: int = 8) -> DataFrame:
     """The rows of ``docs`` less all but the smallest ``doc_id`` of each group of near-duplicates.
 
     Near means an exact Jaccard similarity of at least ``similarity`` on sets of

@@ -166,6 +166,21 @@ def test_near_duplicates_are_linked_by_exact_similarity(spark):
     assert sorted(x.doc_id for x in kept.collect()) == sorted(set(want.values()))
 
 
+def test_pairs_at_the_similarity_are_met(spark):
+    r = random.Random(4)
+    texts = []
+    for k in range(200):  # 180 shingles each, 160 shared: exactly 0.8
+        base = [f"w{r.randrange(10**6)}" for _ in range(184)]
+        near = list(base)
+        for at in (20, 60, 100, 140):
+            near[at] = "changed"
+        texts += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
+    assert len(set(exact_groups(texts).values())) == 200
+    kept = {x.doc_id for x in simhash.keep_one_of_each(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert kept >= set(range(0, 400, 2)) and len(kept) <= 202
+    assert simhash.met(0.8, 24, 8) > 0.997 and simhash.met(0.8, 12, 8, 1.5) < 0.93
+
+
 def test_similar_links_by_brute_force():
     r = random.Random(2)
     sets = [np.array(sorted(r.sample(range(30), r.randrange(0, 14))), dtype=np.uint64) for _ in range(150)]
