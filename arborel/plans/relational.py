@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as X
+from ..operators import nodeset
 from ..tree import CDATA, COMMENT, DOCTYPE, ELEMENT, PI, TEXT
 from . import css, xpath
 
@@ -40,11 +41,22 @@ def partitioned(nodes: DataFrame, n: int | None = None) -> DataFrame:
     return nodes.repartition(n, "doc_id") if n else nodes.repartition("doc_id")
 
 
+def _with_whole_text(nodes: DataFrame) -> DataFrame:
+    """The node table with the string-values that are over its cap derived from the text below.
+
+    Where a query doesn't read ``text``, Catalyst removes the join.
+    """
+    long = nodes.where((F.col("kind") == ELEMENT) & F.col("text").isNull())
+    whole = nodeset.string_value(long, nodes).select(F.col("doc_id").alias("_td"), F.col("pre").alias("_tp"), "content")
+    rows = nodes.join(whole, (F.col("doc_id") == F.col("_td")) & (F.col("pre") == F.col("_tp")), "left")
+    return rows.withColumn("text", F.coalesce("text", "content")).select(*nodes.columns)
+
+
 class Paths:
     """Compiles paths over one node table."""
 
     def __init__(self, nodes: DataFrame, namespaces: Mapping[str, str] | None = None, html: bool = False):
-        self.nodes, self.namespaces, self.html = nodes, dict(namespaces or {}), html
+        self.nodes, self.namespaces, self.html = _with_whole_text(nodes), dict(namespaces or {}), html
 
     # -- entry points ----------------------------------------------------
     def xpath(self, expression: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import pytest
 
+from arborel.corpus import Corpus
 from arborel.plans import evaluate
 from arborel.plans.relational import NotRelational, Paths, partitioned
 from arborel.sources import read, xml
@@ -52,3 +53,15 @@ def test_axes_partition_the_document(nodes):
 def test_no_shuffle_after_partitioning(nodes):
     plan = Paths(nodes).xpath("//item/b")._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_string_values_over_the_cap(spark):
+    source = f"<root><article>{'a' * 3000}<b>{'b' * 2000}</b>needle</article><article>short</article></root>"
+    p = Corpus(spark.createDataFrame([(1, source)], "doc_id long, source string"), "source", "xml").paths()
+    whole = "a" * 3000 + "b" * 2000 + "needle"
+    for expression in ("//article", "//article[contains(., 'needle')]", f"/root[article='{whole}']", "//article[string-length() > 5000]", "//*[starts-with(normalize-space(), 'aaa')]"):
+        wanted = [(n.pre, n.text()) for n in evaluate.query(xml.parse(source), expression)]
+        assert wanted
+        assert sorted((r.pre, r.value) for r in p.xpath(expression).collect()) == sorted(wanted), expression
+    plan = p.xpath("//article/@id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
