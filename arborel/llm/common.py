@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,11 +18,14 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``.  Only where that is unset, as
-    in tests, a temporary folder of this machine becomes the checkpoint folder.
+    It is the session's ``spark.checkpoint.dir``.  Only where that is unset and
+    all runs on this machine, as in tests, a temporary folder becomes the
+    checkpoint folder; on a cluster an unset folder is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="arborel-")
         spark.sparkContext.setCheckpointDir(found)
         found = "file://" + found
@@ -43,6 +47,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(taken: Iterable[str], *names: str) -> list[str]:
+    """Column names made from ``names`` that no column of ``taken`` has, whatever its case."""
+    known = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while name.lower() in known:
+            name = f"_{name}"
+        known.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
