@@ -1,13 +1,15 @@
 """Exact top-k search by inner product over an impact-ordered index.
 
-Vectors are quantised to integers and dealt into shards.  A shard's index sorts
-its postings into segments of descending quantised impact, the magnitude of a
-component.  A block of queries takes the segments score at a time, those of the
-highest impact first, into exact integer accumulators.  It stops only on proof:
-what a vector can still gain is at most the query's length times the length of
-the vector's components in segments not yet taken, and when few vectors can
-still reach the k-th best score, those are rescored exactly.  Nothing is
-approximate; the bound decides only how early a search stops.
+Vectors are quantised to integers and dealt into shards.  A shard's index holds
+for each dimension its postings, rows with their impacts (the components), in
+descending order of impact and cut into segments of one impact level.  A query
+takes segments score at a time over all dimensions: those that can add most
+first, which are a dimension's highest impacts for a positive component of the
+query and its lowest for a negative one.  Sums are exact integers.  A search
+stops only on proof: what a vector's untaken postings can still add is at most
+the bound of the next segment for each of them, and when few vectors can reach
+the k-th best score, those are rescored exactly.  Nothing is approximate; the
+bound decides only how many postings are read.
 """
 
 from __future__ import annotations
@@ -29,24 +31,27 @@ def quantised(embedding: Column, scale: int = 256) -> Column:
     return F.when(finite, F.transform(x, lambda v: F.floor(v * scale).cast("long")))
 
 
-#: Share of a shard's postings, by descending impact, that lies in the segments up to each level but the last.
-LEVELS = (0.25, 0.6)
+#: Impact levels that the range of a shard's components is cut into, at most.
+LEVELS = 64
+#: A search looks for proof after each such share of its shard's postings.
+STEPS = 16
 
 
 def build_index(vectors: DataFrame, scale: int = 256, shard_rows: int = 8192) -> DataFrame:
-    """Index rows (shard, n, dims, ids, impacts, levels) of ``vectors`` (vec_id, embedding).
-
-    ``impacts`` holds the shard's integer vectors by row, ``levels`` for each
-    posting the segment it lies in, 0 being the highest impacts.  Shards hold
-    about ``shard_rows`` vectors whatever the number of rows.  Vectors that are
-    null or hold null or non-finite components, and rows without a vec_id, are
-    left out.  Shorter vectors count as zero in the dimensions they lack.
+    """Index rows (shard, n, dims, width, ids, impacts, postings) of ``vectors`` (vec_id, embedding).
+
+    ``impacts`` holds the shard's integer vectors by row in ``width`` bytes each,
+    ``postings`` the rows of each dimension by descending impact.  Shards hold
+    about ``shard_rows`` vectors whatever the number of rows, repeated ones
+    included.  Vectors that are null or hold null or non-finite components, and
+    rows without a vec_id, are left out.  Shorter vectors count as zero in the
+    dimensions they lack.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), scale).alias("v"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), scale).alias("v"), F.monotonically_increasing_id().alias("row"))
     rows = written(rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()), "quantised")
     shards = max(1, -(-rows.count() // shard_rows))
-    # The vector takes part in the hash: rows that repeat an id spread as well.
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int"))
+    # Rows are dealt by the number they were written with, so copies spread like others.
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
     packed = dealt.groupBy("shard").agg(F.collect_list(F.struct("vec_id", "v")).alias("rows"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,15 +59,17 @@ def build_index(vectors: DataFrame, scale: int = 256, shard_rows: int = 8192) ->
             for k in range(len(batch)):
                 part = batch["rows"][k].values
                 ids, impacts = part.field("vec_id").to_numpy(), _matrix(part.field("v"))
-                size = np.abs(impacts)
-                cuts = np.quantile(size, [1 - share for share in LEVELS])
-                levels = sum((size < c).astype(np.uint8) for c in cuts)
+                width = next(w for w in (2, 4, 8) if w == 8 or np.abs(impacts).max(initial=0) < 1 << (8 * w - 1))
+                postings = np.argsort(-impacts, axis=0, kind="stable").T.astype("<i4")
                 yield pa.RecordBatch.from_arrays(
-                    [batch["shard"][k : k + 1], pa.array([len(ids)], pa.int32()), pa.array([impacts.shape[1]], pa.int32()), pa.array([ids.astype("<i8").tobytes()]), pa.array([impacts.astype("<i8").tobytes()]), pa.array([levels.tobytes()])],
-                    ["shard", "n", "dims", "ids", "impacts", "levels"],
-                )
+                    [
+                        batch["shard"][k : k + 1], pa.array([len(ids)], pa.int32()), pa.array([impacts.shape[1]], pa.int32()), pa.array([width], pa.int32()),
+                        pa.array([ids.astype("<i8").tobytes()]), pa.array([impacts.astype(f"<i{width}").tobytes()]), pa.array([postings.tobytes()]),
+                    ],
+                    ["shard", "n", "dims", "width", "ids", "impacts", "postings"],
+                )
 
-    return packed.mapInArrow(build, "shard int, n int, dims int, ids binary, impacts binary, levels binary")
+    return packed.mapInArrow(build, "shard int, n int, dims int, width int, ids binary, impacts binary, postings binary")
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
@@ -74,19 +81,23 @@ def _matrix(lists: pa.Array) -> np.ndarray:
 
 
 class Shard:
-    """One shard's index, ready for blocks of queries."""
+    """One shard's index, ready for queries; ``read`` counts the postings that they took."""
 
-    def __init__(self, ids: np.ndarray, impacts: np.ndarray, levels: np.ndarray):
+    def __init__(self, ids: np.ndarray, impacts: np.ndarray, postings: np.ndarray | None = None):
         self.ids, self.impacts = ids, impacts
-        self.largest = float(np.abs(impacts).max(initial=0))
-        self.segments = [np.where(levels == k, impacts, 0).T for k in range(len(LEVELS) + 1)]
-        # Length of each vector's components beyond a level, rounded up.
-        self.beyond = [np.sqrt((np.where(levels > k, impacts, 0).astype(np.float64) ** 2).sum(axis=1)) * (1 + 1e-12) for k in range(len(LEVELS))]
-
-    def _number(self, queries: np.ndarray) -> type:
-        """A type in which all sums of products are exact."""
-        bound = self.largest * float(np.abs(queries).max(initial=0)) * queries.shape[1]
-        return np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64
+        self.postings = np.argsort(-impacts, axis=0, kind="stable").T if postings is None else postings
+        n, dims = impacts.shape
+        self.sorted = np.take_along_axis(impacts.T, self.postings, axis=1)
+        low, high = int(impacts.min(initial=0)), int(impacts.max(initial=0))
+        shift = max(0, (high - low).bit_length() - (LEVELS - 1).bit_length())
+        # Levels from the highest impacts down; a segment is (dimension, level), its postings lie between two cuts.
+        level = (high >> shift) - (self.sorted >> shift)
+        self.levels = (high >> shift) - (low >> shift) + 1
+        self.cuts = np.array([np.searchsorted(level[d], np.arange(self.levels + 1)) for d in range(dims)])
+        self.highest = np.array([((high >> shift) - k + 1 << shift) - 1 for k in range(self.levels)], dtype=np.int64)
+        self.lowest = np.array([(high >> shift) - k << shift for k in range(self.levels)], dtype=np.int64)
+        self.largest = max(abs(low), abs(high))
+        self.read = 0
 
     def top(self, own: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the k best (ids, scores) other than its ``own`` id: larger score first, then smaller id."""
@@ -94,32 +105,61 @@ class Shard:
         q = np.zeros((len(queries), dims), dtype=np.int64)
         shared = min(dims, queries.shape[1])
         q[:, :shared] = queries[:, :shared]
-        kind = self._number(q)
-        length = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1)) * (1 + 1e-12)
-        score = np.zeros((len(q), n), dtype=kind)
-        open_ = np.arange(len(q))
-        found: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(q)
-        few = max(4 * k + 1, n // 25)
-        for level, segment in enumerate(self.segments):
-            score += q[open_].astype(kind) @ segment.astype(kind)
-            last = level == len(LEVELS)
-            still = []
-            for r, query in enumerate(open_):
-                if last or n <= few:
-                    rest = np.arange(n) if n <= few else self._leaders(score[r], k)
-                else:
-                    rest = self._possible(score[r], self.beyond[level] * length[query], q[query], own[query], k, few)
-                if rest is None:
-                    still.append(r)
-                    continue
-                rest = rest[self.ids[rest] != own[query]]
-                exact = self.impacts[rest] @ q[query]
-                best = np.lexsort((self.ids[rest], -exact))[:k]
-                found[query] = (self.ids[rest][best], exact[best])
-            open_, score = open_[still], score[still]
-            if not len(open_):
+        return [self._best(self._possible(x, o, k), x, o, k) for x, o in zip(q, own)]
+
+    def _best(self, rows: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = rows[self.ids[rows] != own]
+        exact = self.impacts[rows].astype(np.int64) @ query
+        best = np.lexsort((self.ids[rows], -exact))[:k]
+        return self.ids[rows][best], exact[best]
+
+    def _possible(self, query: np.ndarray, own: int, k: int) -> np.ndarray:
+        """Rows that may be among the k best: few of them, or all whose exact sums are that good."""
+        n, dims = self.impacts.shape
+        few = max(4 * k + 1, n // 10)
+        if n <= few:
+            return np.arange(n)
+        # Sums of products are exact in this type; bounds are integers.
+        exact_floats = self.largest * int(np.abs(query).max(initial=0)) * dims < 2**53
+        bound = np.where(query[:, None] > 0, query[:, None] * self.highest, query[:, None] * self.lowest)
+        # Within a dimension a query takes levels from the side on which they add most, so what it has taken is a run.
+        order = np.argsort(-bound, axis=None, kind="stable")
+        size = np.diff(self.cuts, axis=1).ravel()[order]
+        order, size = order[size > 0], size[size > 0]
+        ends = np.searchsorted(np.cumsum(size), np.arange(1, STEPS + 1) * (n * dims) / STEPS - 0.5) + 1
+        score, taken = np.zeros(n, dtype=np.float64 if exact_floats else np.int64), np.zeros(n, dtype=np.int64)
+        begin = 0
+        for end in np.unique(np.minimum(ends, len(order))):
+            segment = order[begin:end]
+            dim, level = segment // self.levels, segment % self.levels
+            rows, gains = [], []
+            for d in np.unique(dim):
+                run = level[dim == d]
+                a, b = self.cuts[d, run.min()], self.cuts[d, run.max() + 1]
+                rows.append(self.postings[d, a:b])
+                gains.append(self.sorted[d, a:b] * query[d])
+            rows, gains = np.concatenate(rows), np.concatenate(gains)
+            if exact_floats:
+                score += np.bincount(rows, weights=gains, minlength=n)
+            else:
+                np.add.at(score, rows, gains)
+            taken += np.bincount(rows, minlength=n)
+            self.read += len(rows)
+            begin = end
+            if end == len(order):
                 break
-        return found
+            left = int(bound.ravel()[order[end]])
+            # Proof: no vector gains more than ``left`` from each posting that it has not been met in.
+            reach = score + (dims - taken) * left
+            lead = np.argpartition(score, n - 4 * k - 1)[n - 4 * k - 1 :]
+            lead = lead[self.ids[lead] != own]
+            if len(lead) < k:
+                continue
+            exact = self.impacts[lead].astype(np.int64) @ query
+            rows = np.nonzero(reach >= np.partition(exact, len(exact) - k)[len(exact) - k])[0]
+            if len(rows) <= few:
+                return rows
+        return self._leaders(score, k)
 
     def _leaders(self, score: np.ndarray, k: int) -> np.ndarray:
         """All rows that reach the score of place k + 1, whose scores are exact: the query's own may be among them."""
@@ -128,19 +168,8 @@ class Shard:
         own_may_repeat = len(np.unique(self.ids[rows])) < len(rows)
         return np.arange(len(score)) if own_may_repeat else rows
 
-    def _possible(self, score: np.ndarray, gain: np.ndarray, query: np.ndarray, own: int, k: int, few: int) -> np.ndarray | None:
-        """Rows that may be among the k best, if they are few: those that may reach the k-th exact score of the leaders."""
-        lead = np.argpartition(score, len(score) - 4 * k - 1)[len(score) - 4 * k - 1 :]
-        lead = lead[self.ids[lead] != own]
-        if len(lead) < k:
-            return None
-        exact = self.impacts[lead] @ query
-        kth = np.partition(exact, len(exact) - k)[len(exact) - k]
-        rows = np.nonzero(score + gain >= kth)[0]
-        return rows if len(rows) <= few else None
 
-
-def search(index: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, block: int = 256) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, block: int = 256, together: int = 16) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` best rows of ``index`` for each query (vec_id, embedding).
 
     Rows with the query's own vec_id don't compete.  Ties go to the smaller
@@ -148,29 +177,39 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, b
     several queries asks once, by its smallest vector.  Queries that are null or
     hold null or non-finite components ask nothing; an empty table gives no rows.
 
-    Queries are dealt into blocks, and each block meets each shard in one row of
-    an equi-join: memory is bounded by a block and a shard, and work is spread
-    over all pairs of them.
+    Queries, the smaller side, are dealt into blocks and brought to the shards:
+    ``together`` blocks meet a shard in one group, so that a shard moves once
+    for each of these groups and is prepared once.  Memory is bounded by a block
+    and a shard.
     """
     asked = queries.select(F.col("vec_id").cast("long").alias("query_id"), quantised(F.col("embedding"), scale).alias("q"))
     asked = asked.where(F.col("query_id").isNotNull() & F.col("q").isNotNull()).groupBy("query_id").agg(F.min("q").alias("q"))
     asked = written(asked, "queries")
     blocks = max(1, -(-asked.count() // block))
     index = written(index, "impact-index")
-    shards = index.select("shard").distinct()
     packed = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))
-    # Which block meets which shard: (blocks x shards) pairs of small integers, each dealt on its own.
-    pairs = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = pairs.join(index, "shard").join(packed, "block")
+    # A group of blocks at a shard: its index comes first, the blocks follow.
+    none = F.lit(None).cast("binary")
+    groups = -(-blocks // together)
+    unasked = F.lit(None).cast(packed.schema["queries"].dataType)
+    shards = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), F.lit(-1).alias("block"), "n", "width", "ids", "impacts", "postings", unasked.alias("queries"))
+    last = index.agg(F.max("shard")).first()[0] or 0
+    at = packed.select(F.explode(F.sequence(F.lit(0), F.lit(last))).alias("shard"), F.floor(F.col("block") / together).cast("int").alias("part"), "block", F.lit(0).alias("n"), F.lit(0).alias("width"), none.alias("ids"), none.alias("impacts"), none.alias("postings"), "queries")
+    rows = shards.unionByName(at).repartition("shard", "part").sortWithinPartitions("shard", "part", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, shard = None, None
+        shard, held = None, -1
         for batch in batches:
             for r in range(len(batch)):
-                if batch["shard"][r].as_py() != last:
-                    last, n = batch["shard"][r].as_py(), batch["n"][r].as_py()
+                number = batch["shard"][r].as_py()
+                if batch["block"][r].as_py() < 0:
+                    held = number
+                    n, width = batch["n"][r].as_py(), batch["width"][r].as_py()
                     load = lambda c, t, r=r, batch=batch: np.frombuffer(batch[c][r].as_buffer(), dtype=t)
-                    shard = Shard(load("ids", "<i8"), load("impacts", "<i8").reshape(n, -1), load("levels", np.uint8).reshape(n, -1))
+                    shard = Shard(load("ids", "<i8"), load("impacts", f"<i{width}").reshape(n, -1).astype(np.int64), load("postings", "<i4").reshape(-1, n))
+                    continue
+                if number != held:  # a shard that no row was dealt to
+                    continue
                 part = batch["queries"][r].values
                 own = part.field("query_id").to_numpy()
                 out = shard.top(own, _matrix(part.field("q")), k)
@@ -183,7 +222,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, b
                     ["query_id", "vec_id", "score"],
                 )
 
-    found = met.select("shard", "n", "ids", "impacts", "levels", "queries").mapInArrow(run, "query_id long, vec_id long, score long")
+    found = rows.mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id")))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -66,12 +66,10 @@ def test_topk_of_one_shard(scale):
     impacts = r.integers(-20, 20, (3000, 8)) * scale
     impacts[7] = 400 * scale  # one vector dominates
     impacts[100:140] = impacts[50]  # ties over the last place
-    size = np.abs(impacts)
-    levels = sum((size < c).astype(np.uint8) for c in np.quantile(size, [1 - x for x in topk.LEVELS]))
     ids = np.arange(3000)
     ids[20:30] = 5  # repeated ids
     own, queries = np.array([-1, 5, 50, 7]), np.array([[9] * 8, impacts[5] // scale, impacts[50] // scale, [0] * 8])
-    got = topk.Shard(ids, impacts, levels).top(own, queries, 5)
+    got = topk.Shard(ids, impacts).top(own, queries, 5)
     for q, o, (i, s) in zip(queries, own, got):
         score = impacts @ q
         keep = np.nonzero(ids != o)[0]
@@ -79,6 +77,35 @@ def test_topk_of_one_shard(scale):
         assert i.tolist() == ids[best].tolist() and s.tolist() == score[best].tolist()
 
 
+def test_topk_reads_part_of_the_postings():
+    import os
+
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    r = np.random.default_rng(3)
+    cases = [np.floor(256 * r.normal(0, 0.125, (4000, 32))).astype(np.int64)]
+    if os.path.exists(path):
+        cases.append(np.floor(256 * np.array(pq.read_table(path)["embedding"].drop_null().to_pylist(), dtype=np.float64)).astype(np.int64))
+    for impacts in cases:
+        shard, ids = topk.Shard(np.arange(len(impacts)), impacts), np.arange(len(impacts))
+        asked = ids[:: len(ids) // 40]
+        for own, (found, score) in zip(asked, shard.top(asked, impacts[asked], 5)):
+            want = impacts @ impacts[own]
+            best = np.lexsort((ids, -want))
+            best = best[best != own][:5]
+            assert found.tolist() == best.tolist() and score.tolist() == want[best].tolist()
+        assert shard.read < 0.85 * impacts.size * len(asked)
+
+
+def test_topk_of_one_vector_repeated(spark):
+    df = spark.createDataFrame([(50, [0.5, 0.25])] * 500 + [(k, [0.5, 0.25]) for k in range(51, 60)] + [(100, [0.1, -0.3])], "vec_id long, embedding array<double>")
+    index = topk.build_index(df, shard_rows=64)
+    assert max(x.n for x in index.select("n").collect()) < 128
+    got = rows(topk.search(index, df.where("vec_id % 50 = 0"), block=1, together=1), "query_id", "rank", "vec_id")
+    assert got == [(50, k, 50 + k, ) for k in range(1, 6)] + [(100, k, 50) for k in range(1, 6)]
+
+
 # -- 2 -------------------------------------------------------------------
 def test_simhash(docs, texts):
     want = simhash.brute_force(dict(texts).items())
