@@ -12,13 +12,13 @@ from .operators import serialize as S
 from .operators import validate as V
 from .operators import xinclude
 from .plans import evaluate, xslt
-from .plans.relational import NotRelational, Paths, partitioned
+from .plans.relational import NotRelational, Paths, stored
 from .sources import read, xml
 from .tree import Document, Node
 
 
 class Corpus:
-    """Documents in a column of ``df``; every method returns a DataFrame and starts no job.
+    """Documents in a column of ``df``; every method but :meth:`paths` returns a DataFrame and starts no job.
 
     ``kind`` is xml, html5, html4, auto, html_fragment or xml_fragment;
     ``options`` go to the parser.  Documents are parsed where their rows lie.
@@ -74,9 +74,13 @@ class Corpus:
 
         return self._map(f"doc_id long, {schema}", rows)
 
-    def paths(self, namespaces: Mapping[str, str] | None = None) -> Paths:
-        """The relational lane over the node table, for many queries on one parsed corpus."""
-        return Paths(partitioned(self.nodes()), namespaces, self.kind.startswith("html"))
+    def paths(self, namespaces: Mapping[str, str] | None = None, buckets: int | None = None) -> Paths:
+        """The relational lane over the node table, for many queries on one parsed corpus.
+
+        Parses the corpus and writes its node table in ``buckets`` (by default
+        the session's number of shuffle partitions); the queries only read it.
+        """
+        return Paths(stored(self.nodes(), buckets), namespaces, self.kind.startswith("html"))
 
     def extract(self, **expressions: str) -> DataFrame:
         """One row for each document with the string of each expression; nodes give their first's text, none null."""

@@ -7,12 +7,14 @@ expressions, other paths in predicates become semi-joins or counts, positions
 become windows over each context node.  What isn't covered raises
 :class:`NotRelational`; the per-document lane evaluates everything.
 
-The node table should be partitioned by ``doc_id`` (see :func:`partitioned`);
-then all steps, windows and duplicate removals reuse that partitioning.
+The node table should be written once, bucketed by ``doc_id`` (see
+:func:`stored`); then no step parses anything, a step reads only the columns it
+needs, and joins, windows and duplicate removals find the rows in place.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,6 +43,25 @@ def partitioned(nodes: DataFrame, n: int | None = None) -> DataFrame:
     return nodes.repartition(n, "doc_id") if n else nodes.repartition("doc_id")
 
 
+def stored(nodes: DataFrame, buckets: int | None = None) -> DataFrame:
+    """The node table as a table of files, bucketed by document and sorted in document order.
+
+    The documents are parsed once, here.  Files lie in the folder that
+    ``spark.checkpoint.dir`` names, else in the warehouse; either is shared by
+    all executors.  Whole documents are dealt, so there are no hot keys but
+    single documents.  As in :func:`partitioned`, the session no longer demands
+    every join key as a partitioning key.
+    """
+    spark = nodes.sparkSession
+    n, name = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), f"arborel_nodes_{uuid.uuid4().hex}"
+    writer = partitioned(nodes, n).write.format("parquet").bucketBy(n, "doc_id").sortBy("doc_id", "pre")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        writer = writer.option("path", f"{shared.rstrip('/')}/{name}")
+    writer.saveAsTable(name)
+    return spark.table(name)
+
+
 def _with_whole_text(nodes: DataFrame) -> DataFrame:
     """The node table with the string-values that are over its cap derived from the text below.
 
@@ -57,6 +78,7 @@ class Paths:
 
     def __init__(self, nodes: DataFrame, namespaces: Mapping[str, str] | None = None, html: bool = False):
         self.nodes, self.namespaces, self.html = _with_whole_text(nodes), dict(namespaces or {}), html
+        self._joined = 0
 
     # -- entry points ----------------------------------------------------
     def xpath(self, expression: str) -> DataFrame:
@@ -210,8 +232,7 @@ class Paths:
             rows = rows.withColumn("_position", F.row_number().over(window.orderBy(order, "sib")).cast("double"))
             if _calls(tree, "last"):
                 rows = rows.withColumn("_last", F.count("*").over(window).cast("double"))
-        # Paths other than from the row itself are joined in first.
-        self._joined = 0
+        # Paths other than from the row itself are joined in first, each under a name of its own.
         rows, condition = self._boolean(rows, tree)
         return rows.where(condition)
 
@@ -240,9 +261,11 @@ class Paths:
             a, op, b = tree[2], tree[1], tree[3]
             if b[0] == "path" and a[0] != "path":
                 a, b, op = b, a, {"<": ">", "<=": ">=", ">": "<", ">=": "<="}.get(op, op)
+            if a[0] == "path" and b[0] == "path" and (self._own(a) is None or self._own(b) is None):
+                return self._some_pair(rows, op, a, b)
             if a[0] == "path" and self._own(a) is None:
                 if b[0] not in ("string", "number"):
-                    raise NotRelational("a comparison of two paths")
+                    raise NotRelational("a comparison of a path with a computed value")
                 found = self._sub(rows, a)
                 value = F.coalesce(F.col("text"), F.col("value"))
                 numeric = b[0] == "number" or op not in ("=", "!=")
@@ -266,6 +289,30 @@ class Paths:
         rows, v, is_number = self._scalar(rows, tree)
         return rows, X.boolean(v) if is_number else v != ""
 
+    def _some_pair(self, rows: DataFrame, op: str, a: tuple, b: tuple) -> tuple[DataFrame, Column]:
+        """Whether some node of ``a`` and some of ``b`` compare: an equi-join for =, else the extremes of both sides."""
+        value = F.coalesce(F.col("text"), F.col("value"), F.lit(""))
+        left, right = (self._sub(rows, x).select("doc_id", "org", value.alias(v)) for x, v in ((a, "_x"), (b, "_y")))
+        if op == "=":
+            return self._exists(rows, left.join(right.withColumnRenamed("_y", "_x"), ["doc_id", "org", "_x"], "left_semi"))
+        if op != "!=":  # as numbers; NaN compares with nothing
+            left, right = (d.select("doc_id", "org", X.number(F.col(v)).alias(v)).where(~F.isnan(v)) for d, v in ((left, "_x"), (right, "_y")))
+        sides = [d.groupBy("doc_id", "org").agg(F.min(v).alias(f"{v}_min"), F.max(v).alias(f"{v}_max")) for d, v in ((left, "_x"), (right, "_y"))]
+        both = sides[0].join(sides[1], ["doc_id", "org"])
+        x_min, x_max, y_min, y_max = (F.col(c) for c in ("_x_min", "_x_max", "_y_min", "_y_max"))
+        holds = {"!=": (x_min != y_max) | (x_max != y_min), "<": x_min < y_max, "<=": x_min <= y_max, ">": x_max > y_min, ">=": x_max >= y_min}[op]
+        return self._exists(rows, both.where(holds))
+
+    def _first(self, rows: DataFrame, path: tuple) -> tuple[DataFrame, Column]:
+        """The string-value of the first node in document order of a relative path from each row; null if there is none."""
+        value = F.coalesce(F.col("text"), F.col("value"), F.lit(""))
+        first = self._sub(rows, path).groupBy("doc_id", "org").agg(F.min_by(value, F.struct("pre", F.when(F.col("kind") == 2, F.col("sib")).otherwise(-1))).alias("_v"))
+        self._joined += 1
+        name = f"_string{self._joined}"
+        first = first.select(F.col("doc_id").alias("_hd"), F.col("org").alias("_hp"), F.col("_v").alias(name))
+        rows = rows.join(first, (F.col("doc_id") == F.col("_hd")) & (F.col("pre") == F.col("_hp")), "left").drop("_hd", "_hp")
+        return rows, F.col(name)
+
     def _exists(self, rows: DataFrame, found: DataFrame) -> tuple[DataFrame, Column]:
         self._joined += 1
         flag = f"_has{self._joined}"
@@ -300,7 +347,7 @@ class Paths:
         if kind == "path":
             own = self._own(tree)
             if own is None:
-                raise NotRelational("the string of a path")
+                rows, own = self._first(rows, tree)
             return rows, own, False
         if kind == "negate":
             rows, a, n = self._scalar(rows, tree[1])

@@ -93,13 +93,14 @@ def unescape(text: str, attribute: bool = False) -> str:
 
 
 class _Parser:
-    def __init__(self, text: str, context: str | None = None, scripting: bool = False, max_depth: int | None = 400):
+    def __init__(self, text: str, context: str | None = None, scripting: bool = False, max_depth: int | None = 400, max_attributes: int | None = 400, max_errors: int | None = None):
         self.s = text.replace("\r\n", "\n").replace("\r", "\n")
         if self.s.startswith("﻿"):
             self.s = self.s[1:]
         self.pos = 0
         self.scripting = scripting
-        self.max_depth = max_depth
+        self.max_depth, self.max_attributes, self.max_errors = max_depth, max_attributes, max_errors
+        self.too_deep, self.counted = False, (0, 1)
         self.errors: list[tuple[int, str]] = []
         self.doc = Document(Node(DOCUMENT), "html5")
         self.stack: list[Node] = []
@@ -122,7 +123,14 @@ class _Parser:
 
     # -- tokenizer -------------------------------------------------------
     def error(self, what: str) -> None:
-        self.errors.append((self.s.count("\n", 0, self.pos) + 1, what))
+        if self.max_errors is None or len(self.errors) < self.max_errors:
+            at, line = self.counted
+            if self.pos >= at:  # lines are counted on from the last error
+                line += self.s.count("\n", at, self.pos)
+            else:
+                line = self.s.count("\n", 0, self.pos) + 1
+            self.counted = (self.pos, line)
+            self.errors.append((line, what))
 
     def run(self) -> None:
         s, n = self.s, len(self.s)
@@ -251,7 +259,7 @@ class _Parser:
         m = _TAG_NAME.match(s, at)
         name, at = m[0].translate(_LOWER), m.end()
         attrs: dict[str, str] = {}
-        closing = False
+        closing = crowded = False
         while True:
             m = _ATTR.match(s, at)
             if m["end"]:
@@ -264,7 +272,11 @@ class _Parser:
                     self.error("eof in tag")
                     self.pos = len(s)
                     return
-            if m["name"]:
+            if m["name"] and self.max_attributes is not None and len(attrs) >= self.max_attributes:
+                if not crowded:
+                    self.error("attributes per element limit exceeded")
+                crowded = True
+            elif m["name"]:
                 value = next((m[g] for g in ("dq", "sq", "uq") if m[g] is not None), "")
                 attrs.setdefault(m["name"].translate(_LOWER), unescape(value.replace("\0", "�"), True))
             at = m.end() if m.end() > at else at + 1
@@ -349,13 +361,26 @@ class _Parser:
 
     def push(self, name: str, attrs: dict[str, str] | None = None, ns: str = HTML_NS) -> Node:
         node = self.make(name, attrs or {}, ns)
+        if self.max_depth and len(self.stack) >= self.max_depth:
+            self._at_depth_limit()
         parent, at = self.place()
+        if self.max_depth and len(self.stack) >= self.max_depth and parent is self.stack[-1]:
+            parent = self.stack[self.max_depth - 1]
+            at = len(parent.children)
         parent.insert(at, node)
         self.stack.append(node)
-        if self.max_depth and len(self.stack) > self.max_depth:
-            raise ValueError("document tree depth limit exceeded")
         return node
 
+    def _at_depth_limit(self) -> None:
+        """Elements beyond the limit become siblings; of too many open ones, those beyond it end, so that no page takes quadratic time."""
+        if not self.too_deep:
+            self.too_deep = True
+            self.error("document tree depth limit exceeded")
+        self.active.clear()  # nothing is opened again beyond the limit
+        if len(self.stack) >= 2 * self.max_depth:
+            del self.stack[self.max_depth :]
+            self.reset()
+
     def void(self, name: str, attrs: dict[str, str]) -> None:
         self.push(name, attrs)
         self.stack.pop()
@@ -1412,9 +1437,22 @@ def quirks(name: str, public: str | None, system: str | None, force: bool = Fals
     return 2 if p.startswith(("-//w3c//dtd xhtml 1.0 frameset//", "-//w3c//dtd xhtml 1.0 transitional//", *late)) else 0
 
 
-def parse(text: str, context: str | None = None, scripting: bool = False, max_depth: int | None = 400, url: str | None = None) -> Document:
-    """Parse a document, or with ``context`` ("body", "svg:path", ...) a fragment in that element."""
-    p = _Parser(text, context, scripting, max_depth)
+def parse(
+    text: str,
+    context: str | None = None,
+    scripting: bool = False,
+    max_depth: int | None = 400,
+    url: str | None = None,
+    max_attributes: int | None = 400,
+    max_errors: int | None = None,
+) -> Document:
+    """Parse a document, or with ``context`` ("body", "svg:path", ...) a fragment in that element.
+
+    No input fails.  Elements nested deeper than ``max_depth`` are siblings at
+    that depth, attributes of an element beyond ``max_attributes`` are left out;
+    either is an error of the document.  At most ``max_errors`` errors are kept.
+    """
+    p = _Parser(text, context, scripting, max_depth, max_attributes, max_errors)
     p.run()
     doc = p.doc
     doc.errors, doc.url = p.errors, url

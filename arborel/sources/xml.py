@@ -65,6 +65,8 @@ class _Builder:
         """attrs: name, value, whether it is a default of the document type."""
         scope = self.scopes[-1]
         decls = [(a[6:] if a.startswith("xmlns:") else "", v) for a, v, _ in attrs if a == "xmlns" or a.startswith("xmlns:")]
+        if self.options & NSCLEAN:  # what an ancestor declares alike is redundant
+            decls = [(p, u) for p, u in decls if scope.get(p, "") != u]
         if decls:
             scope = {**scope, **dict(decls)}
         self.scopes.append(scope)
@@ -137,8 +139,33 @@ def parse(source: str | bytes, options: int = DEFAULT_XML, url: str | None = Non
     Strictly well-formed input takes the fast lane.  Other input raises
     :class:`XmlSyntaxError` unless ``RECOVER`` is set; then it is repaired and
     the errors are kept.  Empty input gives an empty document when recovering.
-    ``resources`` maps system identifiers to bytes; nothing else is ever loaded.
+    ``resources`` maps system identifiers to bytes; nothing else is ever loaded,
+    so NONET always holds.  XINCLUDE includes from ``resources`` (NOBASEFIX
+    leaves xml:base alone; nodes that mark an inclusion are never made, as
+    NOXINCNODE asks), DTDVALID adds what the document type finds wrong to the
+    errors, and NOERROR with NOWARNING keeps none.  NOENT holds always: entities
+    are substituted.
     """
+    doc = _parsed(source, options, url, encoding, resources)
+    if options & XINCLUDE:
+        from ..operators import xinclude
+
+        try:
+            xinclude.process(doc, resources or {}, not options & NOBASEFIX)
+        except xinclude.IncludeError as e:
+            if not options & RECOVER:
+                raise XmlSyntaxError(str(e), 1) from None
+            doc.errors.append((1, str(e)))
+    if options & DTDVALID:
+        from ..operators import validate
+
+        doc.errors += [(1, m) for m in validate.validate_dtd(doc)]
+    if options & NOERROR and options & NOWARNING:
+        doc.errors.clear()
+    return doc
+
+
+def _parsed(source: str | bytes, options: int, url: str | None, encoding: str | None, resources: Mapping[str, bytes] | None) -> Document:
     text = decode(source, encoding) if isinstance(source, bytes) else source.removeprefix("﻿")
     if not text.strip(_BLANK):
         if not options & RECOVER:
@@ -163,7 +190,7 @@ def _strict(text: str, options: int, resources: Mapping[str, bytes]) -> Document
     p.ordered_attributes = p.buffer_text = True
     p.specified_attributes = False
     doc = b.doc
-    if options & DTDLOAD:
+    if options & (DTDLOAD | DTDATTR | DTDVALID):
         p.SetParamEntityParsing(expat.XML_PARAM_ENTITY_PARSING_UNLESS_STANDALONE)
 
     def start(name, attrs):
