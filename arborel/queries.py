@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .corpus import Corpus, build
+from .corpus import Corpus, build, escape_text
 from .functions import columns as X
+from .functions import exslt
 from .operators import validate as V
 from .operators import xsd_types
+from .streaming import shared_path, windowed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,22 +79,24 @@ def positional_links(spark, sf_dir):
     return first.join(last, "doc_id").withColumnRenamed("doc_id", "page_id")
 
 
-@query("SELECT page_id, true AS same FROM pages")
+@query("SELECT page_id, (len(html) - len(replace(html, '<p>', ''))) // 3 AS paragraphs, len(regexp_extract_all(html, '<a '))::BIGINT AS links, list_extract(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1), -1) AS last_href FROM pages")
 def html_round_trip(spark, sf_dir):
-    """Writing a page and parsing it again gives the same markup."""
-    from .operators.serialize import to_html5
-    from .sources import html5, read
+    """What a page that is written as HTML 5 and parsed again holds."""
+    written = _pages(spark, sf_dir).serialize("html5")
+    out = Corpus(written, "source", "html5").extract(paragraphs="count(//p)", links="count(//a)", last_href="(//a)[last()]/@href")
+    return out.select(F.col("doc_id").alias("page_id"), *[F.col(c).cast("long").alias(c) for c in ("paragraphs", "links")], "last_href")
 
-    def rows(i, d):
-        text = to_html5(d)
-        return [(i, to_html5(html5.parse(text)) == text)]
 
-    return read.map_documents(table(spark, sf_dir, "pages"), "html", "html5", "page_id long, same boolean", rows, "page_id")
+_DOCTYPES = ["<!DOCTYPE html>", "", '<!DOCTYPE html PUBLIC "-//W3C//DTD XHTML 1.0 Transitional//EN" "http://www.w3.org/TR/xhtml1/DTD/xhtml1-transitional.dtd">']
 
 
-@query("SELECT 0 AS quirks, count(*)::BIGINT AS n FROM pages")
+@query("SELECT q AS quirks, count(*)::BIGINT AS n FROM pages, (VALUES (0), (1), (2)) AS v(q) GROUP BY q")
 def html_quirks(spark, sf_dir):
-    return _pages(spark, sf_dir).documents().groupBy("quirks").agg(F.count("*").alias("n"))
+    """Each page with its document type, with none and with one of limited quirks."""
+    doctypes = F.explode(F.array(*[F.lit(d) for d in _DOCTYPES]))
+    pages = table(spark, sf_dir, "pages").select("page_id", "html", doctypes.alias("doctype"))
+    pages = pages.select("page_id", F.replace("html", F.lit(_DOCTYPES[0]), F.col("doctype")).alias("html"))
+    return Corpus(pages, "html", "html5", "page_id").documents().groupBy("quirks").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -101,10 +105,20 @@ def html_bold_reconstruction(spark, sf_dir):
     return _pages(spark, sf_dir).extract(bold="count(//b)", in_paragraph="count(//p/b)").withColumnRenamed("doc_id", "page_id")
 
 
-@query("SELECT page_id, unnest(list_slice(regexp_extract_all(html, '<li>(<a [^>]*>[^<]*</a>)</li>', 1), 2, 2)) IS NOT NULL AS has_second FROM pages WHERE len(regexp_extract_all(html, '<li>')) >= 2")
+@query("SELECT page_id, " + _UNESCAPED.format("list_extract(regexp_extract_all(html, '<li><a [^>]*>([^<]*)</a></li>', 1), 2)") + " AS second FROM pages WHERE len(regexp_extract_all(html, '<li>')) >= 2")
 def css_nth_child(spark, sf_dir):
+    """The text of each list's second item, by the relational lane."""
     p = _pages(spark, sf_dir).paths()
-    return p.css("nav ul li:nth-child(2)").select(F.col("doc_id").alias("page_id"), F.lit(True).alias("has_second"))
+    return p.css("nav ul li:nth-child(2)").select(F.col("doc_id").alias("page_id"), F.col("value").alias("second"))
+
+
+@query("SELECT doc_id, length(doc_id || coalesce(text, ''))::BIGINT AS n FROM documents WHERE contains(coalesce(text, ''), 'License')")
+def long_text_contains(spark, sf_dir):
+    """//article[contains(., 'License')] by the relational lane, over elements of up to tens of thousands of characters."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    page = F.concat(F.lit("<!DOCTYPE html><body><article><h1>"), F.col("doc_id"), F.lit("</h1><p>"), escape_text(text), F.lit("</p></article>"))
+    p = Corpus(table(spark, sf_dir, "documents").select("doc_id", page.alias("html")), "html").paths()
+    return p.xpath("//article[contains(., 'License')]").select("doc_id", F.length("value").cast("long").alias("n"))
 
 
 # -- XML from tables and back --------------------------------------------
@@ -120,39 +134,47 @@ def build_region_xml(spark, sf_dir):
     return _region_xml(spark, sf_dir)
 
 
-@query("SELECT n_regionkey::BIGINT AS r_regionkey, count(*)::VARCHAR AS nations, min_by(n_name, n_nationkey) AS first, max_by(n_name, n_nationkey) AS last, sum(n_nationkey)::VARCHAR AS total FROM nation GROUP BY n_regionkey")
+def _orders(spark, sf_dir) -> Corpus:
+    """A document for each customer with orders: their orders in the order of their keys."""
+    o = table(spark, sf_dir, "orders")
+    record = F.struct(F.col("o_orderkey").alias("_key"), F.col("o_orderstatus").alias("_status"), F.floor("o_totalprice").alias("total"), F.col("o_orderpriority").alias("priority"))
+    return Corpus(build(o, record, "order", "orders", [F.col("o_orderkey")], ["o_custkey"]), "source", "xml", "o_custkey")
+
+
+_ORDER_XML = "'<order key=\"' || o_orderkey || '\" status=\"' || o_orderstatus || '\"><total>' || floor(o_totalprice)::BIGINT || '</total><priority>' || o_orderpriority || '</priority></order>'"
+
+
+@query("SELECT o_custkey, count(*)::VARCHAR AS orders, min_by(floor(o_totalprice)::BIGINT, o_orderkey)::VARCHAR AS first_total, max_by(o_orderpriority, o_orderkey) AS last_priority, sum(floor(o_totalprice)::BIGINT)::VARCHAR AS total FROM orders GROUP BY o_custkey")
 def xml_extract(spark, sf_dir):
-    c = Corpus(_region_xml(spark, sf_dir), "source", "xml", "r_regionkey")
-    return c.extract(nations="count(//nation)", first="/region/nation[1]/name", last="/region/nation[last()]/name", total="string(sum(//nation/@key))").withColumnRenamed("doc_id", "r_regionkey")
+    out = _orders(spark, sf_dir).extract(orders="count(//order)", first_total="/orders/order[1]/total", last_priority="/orders/order[last()]/priority", total="string(sum(//total))")
+    return out.withColumnRenamed("doc_id", "o_custkey")
 
 
 _SHEET = """<xsl:stylesheet version="1.0" xmlns:xsl="http://www.w3.org/1999/XSL/Transform"><xsl:output method="text"/>
-<xsl:template match="/region"><xsl:for-each select="nation"><xsl:sort select="name" order="descending"/><xsl:value-of select="concat(position(), '.', name, '=', @key, ';')"/></xsl:for-each></xsl:template>
+<xsl:template match="/orders"><xsl:for-each select="order"><xsl:sort select="total" data-type="number" order="descending"/><xsl:value-of select="concat(position(), '.', @key, '=', total, ';')"/></xsl:for-each></xsl:template>
 </xsl:stylesheet>"""
 
 
-@query("SELECT n_regionkey::BIGINT AS r_regionkey, string_agg(rn || '.' || n_name || '=' || n_nationkey || ';', '' ORDER BY rn) AS source FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name DESC) AS rn FROM nation) GROUP BY n_regionkey")
+@query("SELECT o_custkey, string_agg(rn || '.' || o_orderkey || '=' || t || ';', '' ORDER BY rn) AS source FROM (SELECT o_custkey, o_orderkey, floor(o_totalprice)::BIGINT AS t, row_number() OVER (PARTITION BY o_custkey ORDER BY floor(o_totalprice) DESC, o_orderkey) AS rn FROM orders) GROUP BY o_custkey")
 def xslt_sorted_text(spark, sf_dir):
-    c = Corpus(_region_xml(spark, sf_dir), "source", "xml", "r_regionkey")
-    return c.transform(_SHEET).select(F.col("doc_id").alias("r_regionkey"), "source")
+    return _orders(spark, sf_dir).transform(_SHEET).select(F.col("doc_id").alias("o_custkey"), "source")
 
 
-@query("SELECT n_regionkey::BIGINT AS r_regionkey, sha256('<region>' || string_agg('<nation key=\"' || n_nationkey || '\"><name>' || n_name || '</name></nation>', '' ORDER BY n_nationkey) || '</region>') AS digest FROM nation GROUP BY n_regionkey")
+@query(f"SELECT o_custkey, sha256('<orders>' || string_agg({_ORDER_XML}, '' ORDER BY o_orderkey) || '</orders>') AS digest FROM orders GROUP BY o_custkey")
 def canonical_digest(spark, sf_dir):
-    c = Corpus(_region_xml(spark, sf_dir), "source", "xml", "r_regionkey").canonical()
-    return c.select(F.col("doc_id").alias("r_regionkey"), F.sha2("source", 256).alias("digest"))
+    return _orders(spark, sf_dir).canonical().select(F.col("doc_id").alias("o_custkey"), F.sha2("source", 256).alias("digest"))
 
 
-_SCHEMA = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="region"><xs:complexType><xs:sequence>
-<xs:element name="nation" maxOccurs="unbounded"><xs:complexType><xs:sequence><xs:element name="name" type="xs:token"/></xs:sequence>
-<xs:attribute name="key" use="required"><xs:simpleType><xs:restriction base="xs:int"><xs:maxInclusive value="20"/></xs:restriction></xs:simpleType></xs:attribute>
-</xs:complexType></xs:element></xs:sequence></xs:complexType><xs:key name="k"><xs:selector xpath="nation"/><xs:field xpath="@key"/></xs:key></xs:element></xs:schema>"""
+_SCHEMA = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="orders"><xs:complexType><xs:sequence><xs:element name="order" maxOccurs="unbounded"><xs:complexType><xs:sequence>
+<xs:element name="total"><xs:simpleType><xs:restriction base="xs:int"><xs:maxInclusive value="250000"/></xs:restriction></xs:simpleType></xs:element><xs:element name="priority" type="xs:token"/></xs:sequence>
+<xs:attribute name="key" type="xs:long" use="required"/><xs:attribute name="status"><xs:simpleType><xs:restriction base="xs:string"><xs:enumeration value="F"/><xs:enumeration value="O"/></xs:restriction></xs:simpleType></xs:attribute>
+</xs:complexType></xs:element></xs:sequence></xs:complexType><xs:key name="k"><xs:selector xpath="order"/><xs:field xpath="@key"/></xs:key></xs:element></xs:schema>"""
 
 
-@query("SELECT n_regionkey::BIGINT AS r_regionkey, count(*)::BIGINT AS errors FROM nation WHERE n_nationkey > 20 GROUP BY n_regionkey")
+@query("SELECT o_custkey, sum((floor(o_totalprice) > 250000)::INTEGER + (o_orderstatus NOT IN ('F', 'O'))::INTEGER)::BIGINT AS errors FROM orders GROUP BY o_custkey HAVING errors > 0")
 def xsd_errors(spark, sf_dir):
-    c = Corpus(_region_xml(spark, sf_dir), "source", "xml", "r_regionkey")
-    return c.validate(V.Schema(_SCHEMA)).groupBy(F.col("doc_id").alias("r_regionkey")).agg(F.count("*").alias("errors"))
+    found = _orders(spark, sf_dir).validate(V.Schema(_SCHEMA))
+    return found.groupBy(F.col("doc_id").alias("o_custkey")).agg(F.count("*").alias("errors"))
 
 
 # -- scalar functions ----------------------------------------------------
@@ -210,32 +232,42 @@ def date_difference(spark, sf_dir):
 
 
 # -- sets, aggregates, joins, order --------------------------------------
-@query("SELECT c_nationkey, c_custkey FROM customer QUALIFY c_acctbal = max(c_acctbal) OVER (PARTITION BY c_nationkey)")
+def _keys(found: DataFrame) -> DataFrame:
+    """The order keys that a search for attributes has found."""
+    return found.select(F.col("doc_id").alias("o_custkey"), F.col("value").cast("long").alias("o_orderkey"))
+
+
+_NS = {"math": exslt.MATH, "set": exslt.SETS}
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders QUALIFY floor(o_totalprice) = max(floor(o_totalprice)) OVER (PARTITION BY o_custkey)")
 def math_highest(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_acctbal")
-    best = c.groupBy("c_nationkey").agg(X.nan_max(F.col("c_acctbal")).alias("c_acctbal"))
-    return c.join(best, ["c_nationkey", "c_acctbal"]).select("c_nationkey", "c_custkey")
+    """Keys of the orders with the highest total of their document."""
+    return _keys(_orders(spark, sf_dir).search("/orders/order[total = math:highest(//total)]/@key", _NS))
 
 
-@query("SELECT c_mktsegment, min(c_custkey) AS c_custkey FROM customer GROUP BY c_mktsegment")
+@query("SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey, o_orderpriority")
 def set_distinct(spark, sf_dir):
-    """The first node for each string-value."""
-    return table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.min("c_custkey").alias("c_custkey"))
+    """The first order for each string-value of its priority."""
+    return _keys(_orders(spark, sf_dir).search("set:distinct(//priority)/../@key", _NS))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND c_nationkey < 10 UNION ALL SELECT -c_custkey FROM customer WHERE c_acctbal > 0 AND NOT c_nationkey < 10")
+@query("SELECT o_custkey, o_orderkey, (o_totalprice >= 150001) AS high FROM orders WHERE o_orderstatus = 'F'")
 def set_intersection_difference(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    a, b = c.where("c_acctbal > 0").select("c_custkey"), c.where("c_nationkey < 10").select("c_custkey")
-    return a.join(b, "c_custkey", "left_semi").union(a.join(b, "c_custkey", "left_anti").select((-F.col("c_custkey")).alias("c_custkey")))
+    """Orders of a status that are, and that are not, among those above a total."""
+    c, sides = _orders(spark, sf_dir), "(//order[@status = 'F'], //order[total > 150000])/@key"
+    both = _keys(c.search("set:intersection" + sides, _NS)).withColumn("high", F.lit(True))
+    return both.unionByName(_keys(c.search("set:difference" + sides, _NS)).withColumn("high", F.lit(False)))
+
 
+_GROUPS = """<xsl:stylesheet version="1.0" xmlns:xsl="http://www.w3.org/1999/XSL/Transform"><xsl:output method="text"/><xsl:key name="by" match="order" use="priority"/>
+<xsl:template match="/"><xsl:for-each select="//order[generate-id() = generate-id(key('by', priority)[1])]"><xsl:sort select="priority"/><xsl:value-of select="concat(priority, ':', count(key('by', priority)), ':', @key, ';')"/></xsl:for-each></xsl:template></xsl:stylesheet>"""
 
-@query("SELECT n_name, count(*)::BIGINT AS members, min(c_custkey) AS first FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+
+@query("SELECT o_custkey, string_agg(o_orderpriority || ':' || n || ':' || k || ';', '' ORDER BY o_orderpriority) AS groups FROM (SELECT o_custkey, o_orderpriority, count(*) AS n, min(o_orderkey) AS k FROM orders GROUP BY o_custkey, o_orderpriority) GROUP BY o_custkey")
 def key_grouping(spark, sf_dir):
-    """xsl:key with key(): an equi-join; grouping by the first node of each key."""
-    c, n = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), table(spark, sf_dir, "nation")
-    g = c.groupBy("c_nationkey").agg(F.count("*").alias("members"), F.min("c_custkey").alias("first"))
-    return g.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "members", "first")
+    """xsl:key with key(): groups by the first node of each key, their sizes and first members."""
+    return _orders(spark, sf_dir).transform(_GROUPS).select(F.col("doc_id").alias("o_custkey"), F.col("source").alias("groups"))
 
 
 @query("SELECT o_custkey, o_orderkey, rn::INTEGER AS position FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 3")
@@ -262,10 +294,16 @@ def idc_keyref(spark, sf_dir):
     return V.keyref_violations(c, ["c_custkey"], o, ["o_custkey"])
 
 
-@query("SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM customer WHERE c_nationkey = s_nationkey AND c_acctbal > 9000)")
+@query("SELECT o_custkey, o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM orders p WHERE p.o_custkey = o.o_custkey AND p.o_orderkey < o.o_orderkey AND p.o_orderpriority = o.o_orderpriority)")
 def existential_equal(spark, sf_dir):
-    s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer").where("c_acctbal > 9000")
-    return s.join(c, F.col("s_nationkey") == F.col("c_nationkey"), "left_semi").select("s_suppkey")
+    """Orders whose priority equals that of some order before them: two node-sets compared in the relational lane."""
+    return _keys(_orders(spark, sf_dir).paths().xpath("//order[priority = preceding-sibling::order/priority]/@key"))
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM orders p WHERE p.o_custkey = o.o_custkey AND p.o_orderkey > o.o_orderkey AND floor(p.o_totalprice) > floor(o.o_totalprice))")
+def existential_less(spark, sf_dir):
+    """Orders whose total is below that of some order after them, by the extremes of both node-sets."""
+    return _keys(_orders(spark, sf_dir).paths().xpath("//order[total < following-sibling::order/total]/@key"))
 
 
 @query("SELECT c_mktsegment, min(c_acctbal) AS lo, max(c_acctbal) AS hi, count(*)::BIGINT AS n FROM customer GROUP BY c_mktsegment")
@@ -282,25 +320,21 @@ def xsd_facets(spark, sf_dir):
 
 
 # -- streams -------------------------------------------------------------
-@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*)::BIGINT AS n FROM events WHERE time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL '1 hour' FROM events) GROUP BY 1, 2")
 def stream_windows(spark, sf_dir):
-    """Event-time windows over the events as a stream, run until all of it is read."""
-    import shutil
-    import tempfile
-    import uuid
+    """Event-time windows over the events as a stream: all that the watermark has closed when the stream is read.
 
+    A window is appended to the files of the result once it is closed, so that
+    state and memory hold open windows only.
+    """
     batch = table(spark, sf_dir, "events")
-    name = f"windows_{uuid.uuid4().hex}"
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    place = f"{shared}/{name}" if shared else tempfile.mkdtemp()
+    place = shared_path(spark, "windows")
     rows = spark.readStream.schema(batch.schema).option("pathGlobFilter", "*.parquet").parquet(_folder(sf_dir, "events"))
-    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
-    counted = rows.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"))
-    q = counted.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n").writeStream.outputMode("complete").format("memory").queryName(name)
-    q.option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
-    if not shared:
-        shutil.rmtree(place, ignore_errors=True)
-    return spark.table(name)
+    counted = windowed(rows.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", "1 hour", None, ["event_type"], F.count("*").alias("n"))
+    counted = counted.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    q = counted.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{place}/checkpoint").option("path", f"{place}/rows").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(counted.schema).parquet(f"{place}/rows")
 
 
 def _folder(sf_dir: str, name: str) -> str:

@@ -73,8 +73,8 @@ def map_documents(
 ) -> DataFrame:
     """Apply ``rows_of`` to every parsed document; its rows have ``schema``.
 
-    Null source is an empty document.  A document that strict options refuse
-    raises; recovering options never do.
+    Null source is an empty document.  A document that strict XML options refuse
+    raises; recovering options and HTML never do.
     """
     target = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(target)
@@ -132,7 +132,8 @@ def query(
     """Parse and query in one pass: (doc_id, seq, pre, kind, name, value) of each node, or the scalar result.
 
     Only results leave the task.  ``expression`` is XPath if it starts with /,
-    ./, .. or is a dot or a call, else a CSS selector.  ``functions`` maps names,
+    ./, .. or is a dot or a call (of a name whose prefix, if any, ``namespaces``
+    binds), else a CSS selector.  ``functions`` maps names,
     with "{namespace}" in front if they have one, to callables that take the
     context, the node and the arguments' values.
     """
@@ -142,6 +143,8 @@ def query(
     from ..plans import evaluate, xpath
 
     is_xpath = expression.startswith(("/", "./", "..", "(")) or expression == "." or re.match(r"[a-z-]+\(", expression) is not None
+    call = re.match(r"([A-Za-z_][\w.-]*):[A-Za-z_][\w.-]*\(", expression)
+    is_xpath |= call is not None and call[1] in (namespaces or {})
     if is_xpath:
         xpath.parse(expression)  # errors belong to the driver
 

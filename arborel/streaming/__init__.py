@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,6 +23,19 @@ def stream_files(spark: SparkSession, path: str, schema: str, fmt: str = "parque
     return reader.load(path)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors see, in the one that ``spark.checkpoint.dir`` names.
+
+    Only where all runs on this machine, as in tests, that setting may be unset.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='arborel-')}"
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def windowed(events: DataFrame, time: str, lateness: str, width: str, slide: str | None, keys: list[str], *aggregates: Column) -> DataFrame:
     """Aggregates over event-time windows; rows later than ``lateness`` behind the latest are dropped."""
     w = F.window(time, width, slide) if slide else F.window(time, width)
