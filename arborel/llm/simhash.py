@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_rows, written
+from .common import byte_rows, unused, written
 
 BLOCK_BITS = 16
 #: Deviations beyond the expected number of differing bits at which exact comparison still proposes a pair.
@@ -34,6 +34,8 @@ SLACK = 3.0
 SHORT, SHORT_BITS = 6, 3 / 16
 _BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.int64)
 _COLUMNS = (np.arange(8) * 256).astype(np.intp)
+#: The lowest bit of each octet of a word.
+_OCTETS = np.uint64(0x0101010101010101)
 #: Odd multipliers of the finaliser that derives further hashes from the first.
 _MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 
@@ -54,20 +56,31 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
 
 def fingerprint(hashes: np.ndarray, seeds: int = 1) -> list[int]:
     """``seeds`` fingerprints of 64 bits, as signed integers; no shingles give zero."""
-    n, out = len(hashes), []
-    for s in range(seeds):
-        if not n:
-            out.append(0)
-            continue
-        h = hashes
-        if s:
-            h = hashes.astype(np.uint64) + np.uint64(s * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-            for m in _MIX:
-                h = (h ^ (h >> np.uint64(33))) * np.uint64(m)
-            h = (h ^ (h >> np.uint64(33))).astype(">u8")
-        counts = np.bincount((h.view(np.uint8).reshape(-1, 8) + _COLUMNS).ravel(), minlength=2048).reshape(8, 256) @ _BITS
-        out.append(int.from_bytes(np.packbits(counts.ravel() * 2 > n).tobytes(), "big", signed=True))
-    return out
+    n = len(hashes)
+    if not n:
+        return [0] * seeds
+    if seeds == 1:
+        counts = np.bincount((hashes.astype(">u8").view(np.uint8).reshape(-1, 8) + _COLUMNS).ravel(), minlength=2048).reshape(8, 256) @ _BITS
+        return [int.from_bytes(np.packbits(counts.ravel() * 2 > n).tobytes(), "big", signed=True)]
+    h = np.repeat(hashes.astype(np.uint64)[None], seeds, axis=0)
+    rest = h[1:]
+    rest += (np.arange(1, seeds, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+    for m in _MIX:
+        rest ^= rest >> np.uint64(33)
+        rest *= np.uint64(m)
+    rest ^= rest >> np.uint64(33)
+    # Ones are counted in the eight octets of a word at once, for up to 255 words before an octet could overflow.
+    width = min(n, 255)
+    groups = -(-n // width)
+    if groups * width > n:
+        h = np.concatenate((h, np.zeros((seeds, groups * width - n), dtype=np.uint64)), axis=1)
+    h = h.reshape(seeds, groups, width)
+    ones, part = np.empty((seeds, 8, 8), dtype=np.int64), np.empty_like(h)
+    for bit in range(8):
+        np.right_shift(h, np.uint64(bit), out=part)
+        part &= _OCTETS
+        ones[:, :, bit] = part.sum(axis=2, dtype="<u8").view(np.uint8).reshape(seeds, groups, 8).sum(axis=1, dtype=np.int64)
+    return np.packbits(ones.reshape(seeds, 64) * 2 > n, axis=1, bitorder="little").view("<i8").ravel().tolist()
 
 
 def with_fingerprints(docs: DataFrame, words: int = 3, seeds: int = 1) -> DataFrame:
@@ -414,11 +427,12 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, s
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     groups = similar_groups(docs, words, similarity, seeds, measured)
-    keep = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
+    kept, first = unused(docs.columns, "kept", "first")
+    keep = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(kept)).distinct()
     rows = docs.where(F.col("doc_id").isNotNull())
-    rows = rows.join(keep, F.col("doc_id").cast("long") == F.col("_keep")).drop("_keep")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    rows = rows.withColumn("_first", first).where(F.col("_first") == 1).select(*columns)
+    rows = rows.join(keep, F.col("doc_id").cast("long") == F.col(kept)).drop(kept)
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    rows = rows.withColumn(first, place).where(F.col(first) == 1).select(*columns)
     return rows.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
