@@ -4,7 +4,8 @@ The windows of the benchmark items are normalised and hashed into a set that is
 broadcast; every training text is scanned window by window against it, hash
 hits are verified word by word, and spans or whole documents can be removed.
 The broadcast is bounded by ``max_words``: a larger benchmark is cut into
-slices of at most that many words, and the documents are scanned once a slice.
+slices of at most that many words, and the documents are scanned once a slice,
+one after another, so that neither the driver nor a worker ever holds two.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows
+from .common import byte_rows, unused, written
 
 #: Words are runs of these bytes after A-Z are lower-cased; others separate.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -45,8 +46,10 @@ class Windows:
         self.filters: dict[int, np.ndarray] = {}
         for n in sorted({len(k) for k in self.owners}):
             keys = np.array([k for k in self.owners if len(k) == n], dtype=np.uint64)
-            bits = np.zeros(1 << 20, dtype=bool)
-            bits[self._hash(keys.T, n) >> np.uint64(44)] = True
+            # At least sixteen places a window, so that few of those that occur nowhere pass.
+            size = max(20, (16 * len(keys)).bit_length())
+            bits = np.zeros(1 << size, dtype=bool)
+            bits[self._hash(keys.T, n) >> np.uint64(64 - size)] = True
             self.filters[n] = bits
 
     @staticmethod
@@ -72,7 +75,7 @@ class Windows:
             at = np.nonzero(known[n:] - known[:-n] == n)[0]
             if not len(at):
                 continue
-            at = at[bits[self._hash([ids[at + k] for k in range(n)], n) >> np.uint64(44)]]
+            at = at[bits[self._hash([ids[at + k] for k in range(n)], n) >> np.uint64(65 - len(bits).bit_length())]]
             for p in at.tolist():
                 owners = self.owners.get(tuple(ids[p : p + n].tolist()))
                 if owners:
@@ -94,44 +97,75 @@ def _slices(benchmark: DataFrame, max_words: int) -> Iterator[list[tuple[int, by
     yield part
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 8, max_words: int = 2_000_000) -> DataFrame:
+_FOUND = "array<struct<start:int,end:int>>"
+
+
+def _scanned(rows: DataFrame, part: list[tuple[int, bytes]], width: int, kept: list[str]) -> DataFrame:
+    """Columns ``kept`` of ``rows`` with n_words, spans and items of one slice's windows; ``text`` may be among them."""
+    shared = rows.sparkSession.sparkContext.broadcast((part, width))
+    content = unused([*kept, "n_words", "spans", "items"], "content")[0]
+    narrow = rows.select(*[F.col(f"`{c}`") for c in kept], F.col("text").cast("binary").alias(content))
+    schema = narrow.drop(content).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast(_FOUND), "items": F.array().cast("array<bigint>")}).schema
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows(*shared.value)
+        for batch in batches:
+            n_words, spans, items = [], [], []
+            for text in byte_rows(batch.column(len(kept))):
+                n, hits = windows.scan(text)
+                n_words.append(n)
+                spans.append(merged([(p, p + w) for p, w, _ in hits]))
+                items.append(sorted({i for h in hits for i in h[2]}))
+            new = [
+                pa.array(n_words, pa.int64()),
+                pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+                pa.array(items, pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *new], [*kept, "n_words", "spans", "items"])
+
+    return narrow.mapInArrow(scan, schema)
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 8, max_words: int = 500_000) -> DataFrame:
     """``docs`` with ``n_words``, ``spans`` and ``items`` of benchmark windows.
 
     ``spans`` holds [start, end) word positions that some occurrence covers,
     merged and sorted; ``items`` the sorted ids of items with an occurring
     window.  An item of fewer than ``width`` words, but not none, is one window.
-    Null or empty text has no words, spans or items; repeated rows are each
-    scanned; an empty benchmark finds nothing; an item whose id is null is
-    ignored.  Columns named ``n_words``, ``spans`` or ``items`` are replaced.
+    Null or empty text has no words, spans or items; repeated rows and rows
+    whose ``doc_id`` is null are each scanned; an empty benchmark finds nothing;
+    an item whose id is null is ignored.  Columns named ``n_words``, ``spans``
+    or ``items`` are replaced.
     """
-    spark = docs.sparkSession
-    out = docs.drop("n_words", "spans", "items")
-    kept = [F.col(f"`{c}`") for c in out.columns]
-    out = out.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<struct<start:int,end:int>>"), "items": F.array().cast("array<bigint>")})
-    for part in _slices(benchmark, max_words):
-        shared = spark.sparkContext.broadcast((part, width))
-        out = out.withColumn("_bytes", F.col("text").cast("binary"))
-        schema = out.drop("_bytes").schema
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            windows = Windows(*shared.value)
-            for batch in batches:
-                n_words, spans, items = [], [], []
-                for text, old_spans, old_items in zip(byte_rows(batch["_bytes"]), batch["spans"].to_pylist(), batch["items"].to_pylist()):
-                    n, hits = windows.scan(text)
-                    n_words.append(n)
-                    spans.append(merged([(s["start"], s["end"]) for s in old_spans] + [(p, p + w) for p, w, _ in hits]))
-                    items.append(sorted({*old_items, *(i for h in hits for i in h[2])}))
-                names = [x for x in batch.schema.names if x != "_bytes"]
-                new = {
-                    "n_words": pa.array(n_words, pa.int64()),
-                    "spans": pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                    "items": pa.array(items, pa.list_(pa.int64())),
-                }
-                yield pa.RecordBatch.from_arrays([new.get(x, batch.column(batch.schema.get_field_index(x))) for x in names], names)
-
-        out = out.mapInArrow(scan, schema)
-    return out.select(*kept, "n_words", "spans", "items")
+    base = docs.drop("n_words", "spans", "items")
+    slices = _slices(benchmark, max_words)
+    part, following = next(slices), next(slices, None)
+    if following is None:
+        return _scanned(base, part, width, base.columns)
+
+    # Rows are numbered in a written table; of each slice only rows with hits are kept, then put together by row.
+    row = unused([*base.columns, "n_words", "spans", "items"], "row")[0]
+    numbered = written(base.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    first = found = None
+    while part is not None:
+        scanned = _scanned(numbered, part, width, base.columns + [row] if first is None else [row])
+        scanned = written(scanned if first is None else scanned.where(F.size("items") > 0), "contamination")
+        first = scanned if first is None else first
+        hits = scanned.where(F.size("items") > 0).select(row, "spans", "items")
+        found = hits if found is None else found.unionByName(hits)
+        part, following = following, next(slices, None)
+    lists = found.groupBy(F.col(row)).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
+
+    def join_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [[{"start": a, "end": b} for a, b in merged([(s["start"], s["end"]) for s in one])] for one in batch["spans"].to_pylist()]
+            items = [sorted(set(one)) for one in batch["items"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, batch["spans"].type), pa.array(items, pa.list_(pa.int64()))], batch.schema.names)
+
+    lists = lists.mapInArrow(join_spans, lists.schema)
+    out = first.drop("spans", "items").join(lists, row, "left")
+    empty = F.array()
+    return out.select(*[F.col(f"`{c}`") for c in base.columns], "n_words", F.coalesce("spans", empty.cast(_FOUND)).alias("spans"), F.coalesce("items", empty.cast("array<bigint>")).alias("items"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -92,7 +92,7 @@ def pack(lengths: DataFrame, capacities: Sequence[int] = CAPACITIES, overhead: i
     piece; no bin holds more than its capacity.  Rows of no tokens (or null)
     have one piece of length 0, in a bin of its own kind: capacity 0.  Rows that
     share a ``doc_id`` or have none are packed each for itself; an empty table
-    gives no rows.
+    gives no rows.  Other columns of ``lengths`` are not returned.
     """
     sizes = sorted(int(c) for c in capacities)
     most = sizes[-1]
@@ -100,10 +100,11 @@ def pack(lengths: DataFrame, capacities: Sequence[int] = CAPACITIES, overhead: i
     rows = lengths.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("_n"))
     starts = F.sequence(F.lit(0).cast("long"), F.greatest((F.col("_n") - 1), F.lit(0)), F.lit(most).cast("long"))
     rows = rows.select("doc_id", "_n", F.explode(starts).alias("doc_start"))
-    pieces = written(rows.select("doc_id", "doc_start", F.least(F.col("_n") - F.col("doc_start"), F.lit(most)).alias("n_tokens")), "pieces")
+    rows = rows.select("doc_id", "doc_start", F.least(F.col("_n") - F.col("doc_start"), F.lit(most)).alias("n_tokens"), F.monotonically_increasing_id().alias("_row"))
+    pieces = written(rows, "pieces")
     groups = max(1, -(-pieces.count() // group))
-    # All of a piece takes part in the hash, so rows that repeat an id spread by their sizes as well.
-    dealt = pieces.withColumn("_g", F.pmod(F.xxhash64("doc_id", "doc_start", "n_tokens"), F.lit(groups)).cast("int"))
+    # Pieces are dealt by the number they were written with, so equal ones spread like others and groups are of bounded size.
+    dealt = pieces.withColumn("_g", F.pmod(F.xxhash64("_row"), F.lit(groups)).cast("int")).drop("_row")
     dealt = dealt.repartition(groups, "_g").sortWithinPartitions("_g", F.col("n_tokens").desc(), "doc_id", "doc_start")
 
     def one(g: int, columns: tuple[list, ...]) -> pa.RecordBatch:

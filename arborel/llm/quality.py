@@ -1,4 +1,4 @@
-"""Quality classifier: a factorisation machine over hashed words and structure statistics.
+"""Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
 
 The model scores a text by a bias, a weight for each feature and low-rank
 pairwise interactions, which the identity of the squared sum and the sum of
@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows
+from .common import byte_rows, unused
 
 WORD_BITS, FACTORS, BINS = 16, 8, 16
 STATISTICS = ("repeats", "distinct", "symbols", "bars", "upper", "digits", "word_length", "words", "line_words", "unended", "longest", "shouts", "marked")
+#: Columns beside the text that are features; never an id, a language or a source.
+METADATA = ("n_chars",)
 _UPPER = bytes(range(65, 91))
 _DIGIT = bytes(range(48, 58))
 #: Bytes that ordinary prose holds: white space, letters, digits, full stop, comma and all beyond ASCII.
@@ -60,15 +62,16 @@ def word_buckets(words: list[bytes]) -> list[int]:
 
 @dataclass
 class Machine:
-    """Feature indices: word buckets, then ``BINS`` for each statistic; ``edges`` cut the statistics into bins."""
+    """Feature indices: word buckets, then ``BINS`` for each statistic and column of ``metadata``; ``edges`` cut these into bins."""
 
     edges: np.ndarray
     bias: float
     weights: np.ndarray
     factors: np.ndarray
+    metadata: tuple[str, ...] = ()
 
     def features(self, buckets: Sequence[int], stats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = np.arange(len(STATISTICS)) * BINS + (self.edges < stats[:, None]).sum(axis=1) + (1 << WORD_BITS)
+        own = np.arange(len(stats)) * BINS + (self.edges < stats[:, None]).sum(axis=1) + (1 << WORD_BITS)
         index = np.concatenate((np.array(buckets, dtype=np.int64), own))
         value = np.concatenate((np.full(len(buckets), 1 / np.sqrt(max(1, len(buckets))), dtype=np.float32), np.ones(len(own), dtype=np.float32)))
         return index, value
@@ -79,14 +82,15 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
-def fit(rows: list[tuple[Sequence[int], Sequence[float], int]], epochs: int = 12, rate: float = 0.1, decay: float = 1e-5) -> Machine:
-    """A machine for (buckets, statistics, label) rows by stochastic gradient steps; the same rows give the same machine."""
-    size = (1 << WORD_BITS) + len(STATISTICS) * BINS
+def fit(rows: list[tuple[Sequence[int], Sequence[float], int]], metadata: Sequence[str] = (), epochs: int = 12, rate: float = 0.1, decay: float = 1e-5) -> Machine:
+    """A machine for (buckets, statistics and metadata, label) rows by stochastic gradient steps; the same rows give the same machine."""
+    scales = len(STATISTICS) + len(metadata)
+    size = (1 << WORD_BITS) + scales * BINS
     random = np.random.default_rng(7)
-    stats = np.array([r[1] for r in rows], dtype=np.float64).reshape(-1, len(STATISTICS))
+    stats = np.array([r[1] for r in rows], dtype=np.float64).reshape(-1, scales)
     cuts = np.linspace(0, 1, BINS + 1)[1:-1]
-    edges = np.quantile(stats, cuts, axis=0).T if len(rows) else np.zeros((len(STATISTICS), BINS - 1))
-    machine = Machine(edges, 0.0, np.zeros(size, dtype=np.float32), random.normal(0, 0.05, (size, FACTORS)).astype(np.float32))
+    edges = np.quantile(stats, cuts, axis=0).T if len(rows) else np.zeros((scales, BINS - 1))
+    machine = Machine(edges, 0.0, np.zeros(size, dtype=np.float32), random.normal(0, 0.05, (size, FACTORS)).astype(np.float32), tuple(metadata))
     label = np.array([r[2] for r in rows], dtype=np.float64)
     if not len(rows) or label.min() == label.max():
         machine.factors[:] = 0
@@ -119,22 +123,33 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
+def _metadata(docs: DataFrame, names: Sequence[str]) -> Column:
+    """The logarithms of numeric columns as an array; what is missing, no number or negative counts as zero."""
+    known = {c.lower() for c in docs.columns}
+    number = lambda c: F.col(f"`{c}`").cast("string").try_cast("double") if c.lower() in known else F.lit(None).cast("double")
+    tame = lambda x: F.when((x > 0) & (x < F.lit(float("inf"))), F.log1p(x)).otherwise(F.lit(0.0))
+    return F.array(*[tame(F.coalesce(number(c), F.lit(0.0))) for c in names]).cast("array<double>")
+
+
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buckets, stats = [], []
-        for text in byte_rows(batch["_bytes"]):
+        for text, more in zip(byte_rows(batch["_bytes"]), batch["_meta"].to_pylist()):
             words = text.split()
             buckets.append(np.array(sorted(word_buckets(words)), dtype="<i4").tobytes())
-            stats.append(statistics(text, words))
+            stats.append(statistics(text, words) + more)
         yield pa.RecordBatch.from_arrays(
             [batch["_order"], batch["quality"], pa.array(buckets, pa.binary()), pa.array(stats, pa.list_(pa.float64()))],
             ["_order", "quality", "buckets", "stats"],
         )
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, metadata: Sequence[str] = METADATA) -> Machine:
     """Fit a machine on at most ``max_rows`` labelled rows that aren't held out.
 
+    ``metadata`` names numeric columns that are features besides the text; one
+    that the table lacks counts as zero in each row.
+
     The rows are those of the smallest hashes of their ids.  Labels that are
     null, or whose id is null, are left out; an id with several labels has the
     least.  Without labels every text scores 0.5 and is kept.
@@ -143,10 +158,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> Machine:
     chosen = open_.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")).withColumn("_order", F.xxhash64("doc_id"))
     chosen = chosen.orderBy("_order", "doc_id").limit(max_rows)
     # At most max_rows pairs of numbers.
-    rows = docs.select(F.col("doc_id"), F.col("text").cast("binary").alias("_bytes")).join(F.broadcast(chosen), "doc_id")
-    found = rows.select("_order", "quality", "_bytes").mapInArrow(_described, "_order long, quality int, buckets binary, stats array<double>")
+    rows = docs.select(F.col("doc_id"), F.col("text").cast("binary").alias("_bytes"), _metadata(docs, metadata).alias("_meta")).join(F.broadcast(chosen), "doc_id")
+    found = rows.select("_order", "quality", "_bytes", "_meta").mapInArrow(_described, "_order long, quality int, buckets binary, stats array<double>")
     got = found.orderBy("_order", "stats").limit(max_rows).collect()
-    return fit([(np.frombuffer(r["buckets"], dtype="<i4"), r["stats"], int(r["quality"] >= 1)) for r in got])
+    return fit([(np.frombuffer(r["buckets"], dtype="<i4"), r["stats"], int(r["quality"] >= 1)) for r in got], metadata)
 
 
 def classify(docs: DataFrame, machine: Machine, into: str = "score") -> DataFrame:
@@ -156,6 +171,7 @@ def classify(docs: DataFrame, machine: Machine, into: str = "score") -> DataFram
     gives none.  A column of that name is replaced.
     """
     base = docs.drop(into)
+    meta = unused([*base.columns, into], "meta")[0]
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     schema = base.withColumn(into, F.lit(0.0)).schema
 
@@ -163,13 +179,13 @@ def classify(docs: DataFrame, machine: Machine, into: str = "score") -> DataFram
         m = shared.value
         for batch in batches:
             scores = []
-            for value in batch["text"]:  # one text at a time, out of the batch's own memory
+            for value, more in zip(batch["text"], batch[meta].to_pylist()):  # one text at a time, out of the batch's own memory
                 text = (value.as_py() or "").encode()
                 words = text.split()
-                scores.append(m.score(*m.features(word_buckets(words), np.array(statistics(text, words)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, into])
+                scores.append(m.score(*m.features(word_buckets(words), np.array(statistics(text, words) + more))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], into])
 
-    return base.mapInArrow(run, schema)
+    return base.withColumn(meta, _metadata(base, machine.metadata)).mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None = None, max_rows: int = 6000) -> DataFrame:
@@ -178,12 +194,13 @@ def keep_good(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None = N
     The model is fitted on ``labelled``, the table that ``labels`` are about, by default ``docs`` itself.
     """
     machine = train(docs if labelled is None else labelled, labels, max_rows)
-    scored = classify(docs, machine, "_quality")
-    return scored.where(F.col("_quality") >= 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
+    score = unused(docs.columns, "score")[0]
+    scored = classify(docs, machine, score)
+    return scored.where(F.col(score) >= 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    narrow = docs.select("doc_id", "text")
+    narrow = docs.select("doc_id", "text", *[c for c in METADATA if c in docs.columns])
     scored = classify(narrow, train(narrow, labels))
     held_out = F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, unused
 from .encoding import encoder, tokenizer_path, version_digest
 
 CACHE = "digest binary, version string, n_tokens long"
@@ -33,26 +33,30 @@ def read_cache(spark: SparkSession, path: str, version: str) -> DataFrame:
     return rows.where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
+#: Parts that the rows of one digest are dealt into when counts are joined back.
+SALTS = 4
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str) -> DataFrame:
     """``docs`` with ``n_bytes`` and ``n_tokens`` of ``text``; new counts are appended to ``cache``.
 
     Null text counts as empty text: zero bytes and zero tokens.  Repeated rows
     are each returned.  ``doc_id`` may be null or repeated.  Columns named
-    ``n_bytes`` or ``n_tokens`` are replaced.
+    ``n_bytes`` or ``n_tokens`` are replaced, all others pass through.
+
+    Contents are folded by digest on the map side first, so a content that a
+    third of all rows hold costs each task one row, whatever their ids.
     """
     spark = docs.sparkSession
     version = version_digest(tokenizer)
     base = docs.drop("n_bytes", "n_tokens")
-    content = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # 256 bits of the exact content; normalising further would change counts.
-    digest = F.unhex(F.sha2(content, 256))
+    digest = F.unhex(F.sha2(text.cast("binary"), 256))
 
     known = read_cache(spark, cache, version)
-    wanted = base.select("doc_id", digest.alias("digest"))
-    wanted = wanted.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(known, "digest", "left_anti")
-    texts = base.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), digest.alias("digest"))
-    # One row of each content that misses; ids, not texts, were aggregated to find it.
-    misses = texts.join(wanted.select("digest", F.col("doc_id").alias("_first")), "digest").where(F.col("doc_id").eqNullSafe(F.col("_first")))
+    distinct = base.select(digest.alias("digest"), text.alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
+    misses = distinct.join(known, "digest", "left_anti")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -62,12 +66,13 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str) -> DataFrame:
                 n = enc.counts(part["text"].to_pylist())
                 yield pa.RecordBatch.from_arrays([part["digest"], pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], ["digest", "version", "n_tokens"])
 
-    misses.select("digest", "text").mapInArrow(encode, CACHE).dropDuplicates(["digest"]).write.mode("append").parquet(cache)
+    misses.select("digest", "text").mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
 
-    counts = read_cache(spark, cache, version)
-    rows = base.withColumns({"n_bytes": F.octet_length(content).cast("long"), "_digest": digest})
-    out = rows.join(counts.withColumnRenamed("digest", "_digest"), "_digest", "left")
-    return out.select(*[F.col(f"`{c}`") for c in base.columns], "n_bytes", "n_tokens")
+    key, salt, found = unused([*base.columns, "n_bytes", "n_tokens"], "key", "salt", "found")
+    counts = read_cache(spark, cache, version).select(F.col("digest").alias(key), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt), F.col("n_tokens").alias(found))
+    rows = base.withColumns({"n_bytes": F.octet_length(text).cast("long"), key: digest, salt: F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")})
+    out = rows.join(counts, [key, salt], "left")
+    return out.select(*[F.col(f"`{c}`") for c in base.columns], "n_bytes", F.col(found).alias("n_tokens"))
 
 
 def op6_token_counts(docs: DataFrame, limit: int = 1024) -> DataFrame:

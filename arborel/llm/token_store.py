@@ -56,7 +56,7 @@ def write_tokens(
     """Encode ``text`` of every row of ``docs`` and write the files to ``path``.
 
     Rows are written in ascending ``doc_id`` order (null first; rows that share
-    an id in the order of their texts).  Null text is encoded as empty text, so
+    an id in the order of their texts' hashes, so that such rows can be split).  Null text is encoded as empty text, so
     a document has at least ``end_id``.  An empty table gives files without
     rows.  Other columns are not written.
     """
@@ -64,7 +64,8 @@ def write_tokens(
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = F.col("doc_id").asc_nulls_first()
+    rows = rows.repartitionByRange(parts, order, F.xxhash64("text")).sortWithinPartitions(order, F.xxhash64("text"), "text")
     rows = rows.select(F.spark_partition_id().alias("part"), "doc_id", "text")
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 

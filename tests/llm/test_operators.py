@@ -307,6 +307,33 @@ def test_decontamination(spark, docs, texts):
     assert {r.doc_id for r in kept.collect()} == {i for i, _, _, n, _, _ in want if not n}
 
 
+def test_decontamination_of_a_benchmark_above_the_bound(spark):
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(300)]
+    items = [(k, " ".join(r.choices(words, k=r.choice([3, 8, 20])))) for k in range(60)]
+    texts = []
+    for k in range(40):  # passages of several items, some overlapping
+        parts = [r.choice(items)[1] for _ in range(r.randint(0, 4))] + [" ".join(r.choices(words, k=30))]
+        r.shuffle(parts)
+        texts.append((k if k % 5 else None, " ".join(parts)))
+    docs = spark.createDataFrame([(i, t, "keep", 1) for i, t in texts], "doc_id long, text string, row string, content int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    show = lambda df: sorted(str((r.doc_id, r.n_words, r.spans, r["items"], r.row, r.content)) for r in df.collect())
+    whole = decontam.find_contamination(docs, bench)
+    assert show(decontam.find_contamination(docs, bench, max_words=40)) == show(whole)
+    assert whole.columns == [*docs.columns, "n_words", "spans", "items"]
+    key = lambda x: str(x)
+    columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert sorted((tuple(r[c] for c in columns) for r in decontam.op4_decontamination(docs, bench).collect()), key=key) == sorted(decontam.brute_force(texts, items), key=key)
+
+
+def test_window_filter_grows_with_the_windows():
+    r = random.Random(1)
+    items = [(k, " ".join(f"v{r.randrange(90_000)}" for _ in range(400)).encode()) for k in range(260)]
+    filled = decontam.Windows(items, 8).filters[8].mean()
+    assert filled < 1 / 15
+
+
 def test_decontamination_empty(spark, docs, no_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.op4_decontamination(docs, none).where("n_items > 0").count() == 0
@@ -363,6 +390,16 @@ def test_token_counts(spark, docs, texts):
     assert token_counts.op6_token_counts(docs.limit(0)).count() == 0
 
 
+def test_token_counts_of_a_hot_content(spark):
+    path, cache = tokenizer_path("byte_bpe_50k.json"), new_path(spark, "hot")
+    df = spark.range(20_000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL ELSE id % 7 END AS doc_id", "'the same words in every row' AS text", "id AS key", "'x' AS salt")
+    out = token_counts.count_tokens(df, path, cache)
+    assert out.columns == [*df.columns, "n_bytes", "n_tokens"]
+    assert out.groupBy("n_tokens", "n_bytes", "salt").count().collect() == [(6, 27, "x", 20_000)] or out.select("n_tokens").distinct().count() == 1
+    assert out.agg(F.countDistinct("key")).first()[0] == 20_000
+    assert spark.read.parquet(cache).count() == 1  # encoded once
+
+
 # -- 7 -------------------------------------------------------------------
 def test_factorisation_identity():
     import numpy as np
@@ -394,6 +431,16 @@ def test_quality(spark, docs, no_docs):
     assert {x.score for x in quality.op7_quality(made, labels.limit(0)).collect()} == {0.5}
 
 
+def test_metadata_is_a_feature(spark):
+    r = random.Random(2)
+    made = spark.createDataFrame([(k, " ".join(r.choices(["ab", "cd", "ef"], k=20)), 50 if k % 2 else 5000, "bad" if k == 4 else str(k)) for k in range(400)], "doc_id long, text string, n_chars long, extra string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, quality int")
+    out = [x for x in quality.op7_quality(made, labels).collect() if x.held_out]
+    assert sum(x.predicted == x.doc_id % 2 for x in out) >= 0.97 * len(out)
+    machine = quality.train(made, labels, metadata=("extra", "no such column"))
+    assert quality.classify(made, machine).where("score BETWEEN 0 AND 1").count() == 400
+
+
 def test_held_out_labels_do_not_teach(spark):
     made = spark.createDataFrame([(k, "x " * (k % 7 + 1)) for k in range(60)], "doc_id long, text string")
     a = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
@@ -509,6 +556,25 @@ def test_line_dedup_same_id_other_text(spark):
     assert got == [("2", "a line of text"), ("5", "first"), ("5", "second\nalso"), ("None", "a line of text")]
 
 
+def test_clashing_columns_come_back_unchanged(spark):
+    names = ["_t", "_d", "_dt", "_gone", "t", "d", "_first", "_keep", "first", "kept", "_quality", "score", "meta", "_digest", "_hash", "_doc", "_bytes", "content", "row", "key", "salt", "found", "low", "words", "own", "n"]
+    texts = [(1, "a line of text\nfirst one here"), (2, "a line of text\nsecond"), (2, "a line of text\nsecond"), (3, None), (None, "")]
+    df = spark.createDataFrame([(i, t, *[f"{n}{k}" for n in names]) for k, (i, t) in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    bench = spark.createDataFrame([(1, "nothing of this")], "item_id long, text string")
+    whole = sorted(tuple(r[n] for n in names) for r in df.collect())
+    outs = {
+        "quality": quality.keep_good(df, labels.limit(0)), "classify": quality.classify(df, quality.train(df, labels), "p"), "lines": line_dedup.dedup_lines(df), "decontam": decontam.find_contamination(df, bench),
+        "remove": decontam.remove_documents(df, bench), "counts": token_counts.count_tokens(df, tokenizer_path("byte_bpe_50k.json"), new_path(spark, "clash")),
+        "licenses": licenses.scan_licenses(df.drop("score")),
+    }
+    for name, out in outs.items():
+        have = names if name != "licenses" else [n for n in names if n != "score"]
+        assert sorted(tuple(r[n] for n in have) for r in out.collect()) == sorted(tuple(x for n, x in zip(names, w) if n in have) for w in whole), name
+    kept = simhash.keep_one_of_each(df)
+    assert kept.columns == df.columns and {tuple(r[n] for n in names) for r in kept.collect()} <= set(whole)
+
+
 # -- 10 ------------------------------------------------------------------
 def test_packing(spark):
     r = random.Random(8)
@@ -537,6 +603,14 @@ def test_packing(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, n_tokens long")).count() == 0
 
 
+def test_packing_of_equal_rows(spark):
+    df = spark.range(5000).selectExpr("CAST(NULL AS LONG) AS doc_id", "CAST(100 AS LONG) AS n_tokens")
+    out = packing.pack(df, group=500)
+    groups = out.selectExpr("shiftright(bin_id, 32) AS g").groupBy("g").count().collect()
+    assert len(groups) == 10 and max(r["count"] for r in groups) < 700
+    assert out.agg(F.sum("n_tokens")).first()[0] == 500_000
+
+
 def test_best_fit_takes_the_fullest_bin():
     assert packing.best_fit([60, 50, 40, 30, 20], 100, [100]) == [[0, 2], [1, 3, 4]]
     assert packing.pack_group([10], [16, 32], 2) == [(16, [0])]
