@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import model
+from .operators import head
 from .operators import serialize as S
 from .operators import validate as V
 from .operators import xinclude
@@ -52,8 +53,32 @@ class Corpus:
     def events(self) -> DataFrame:
         return read.sax_events(self.df, self.source, self.kind, self.id_column, **self.options)
 
-    def reader(self) -> DataFrame:
-        return read.reader_rows(self.df, self.source, self.id_column, **self.options)
+    def reader(self, outer_depth: int | None = 1) -> DataFrame:
+        return read.reader_rows(self.df, self.source, self.id_column, outer_depth, **self.options)
+
+    def declarations(self) -> DataFrame:
+        """A row for each declaration of the document types.
+
+        (doc_id, kind, name, owner, type, value, required, public_id, system_id):
+        elements with their content model as ``type``, attributes with the
+        element that they belong to as ``owner`` and their default as ``value``,
+        entities with their replacement as ``value``, and notations.
+        """
+
+        def rows(doc_id, doc):
+            d = doc.dtd
+            if d is None:
+                return []
+            out = [(doc_id, "element", n, None, V.content_text(m), None, None, None, None) for n, m in d.elements.items()]
+            out += [(doc_id, "attribute", a, e, kind, default, required, None, None) for (e, a), (kind, default, required) in d.attributes.items()]
+            out += [(doc_id, "entity", n, None, notation, value, None, public, system) for n, (value, system, public, notation) in d.entities.items()]
+            return out + [(doc_id, "notation", n, None, None, None, None, public, system) for n, (system, public) in d.notations.items()]
+
+        return self._map("doc_id long, kind string, name string, owner string, type string, value string, required boolean, public_id string, system_id string", rows)
+
+    def heads(self) -> DataFrame:
+        """(doc_id, title, meta_encoding) of HTML documents; null where a page says nothing."""
+        return self._map("doc_id long, title string, meta_encoding string", lambda i, d: [(i, head.title(d), head.meta_encoding(d))])
 
     def errors(self) -> DataFrame:
         return self.documents().select("doc_id", F.posexplode("errors").alias("seq", "e")).select("doc_id", "seq", "e.line", "e.message")

@@ -177,6 +177,17 @@ def _dtd_content(n: Node, model: tuple) -> list[str]:
     return [] if nullable(p) else [f"Element {n.name} content does not follow the DTD, got ({' '.join(names)})"]
 
 
+def content_text(model: tuple) -> str:
+    """A content model as a document type writes it."""
+    kind, quantifier, name, parts = model
+    if kind in (1, 2):
+        return {1: "EMPTY", 2: "ANY"}[kind]
+    if kind == 3:
+        return f"({' | '.join(['#PCDATA', *(c[2] for c in parts)])}){'*' if parts else ''}"
+    inside = name if kind == 4 else f"({(' | ' if kind == 5 else ' , ').join(content_text(c) for c in parts)})"
+    return inside + ["", "?", "*", "+"][quantifier]
+
+
 # -- XSD -----------------------------------------------------------------
 @dataclass
 class ElementDecl:

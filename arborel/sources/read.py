@@ -186,12 +186,13 @@ def sax_events(df: DataFrame, source: str, kind: str = "xml", id_column: str = "
     return map_documents(df, source, kind, "doc_id long, seq int, event string, name string, value string, attrs map<string,string>", rows, id_column, **options)
 
 
-def reader_rows(df: DataFrame, source: str, id_column: str = "doc_id", **options) -> DataFrame:
+def reader_rows(df: DataFrame, source: str, id_column: str = "doc_id", outer_depth: int | None = 1, **options) -> DataFrame:
     """Rows of a pull reader's cursor, in the order in which it meets them.
 
     ``node_type`` is the node's kind, 15 at the end of an element; ``lang`` and
-    ``base_uri`` are those in scope; ``outer_xml`` stands at the start of each
-    element that has no element above it but the root.
+    ``base_uri`` are those in scope; ``outer_xml`` and ``inner_xml`` stand at the
+    start of each element that is ``outer_depth`` levels below the document
+    element or fewer, but not of that itself; without a depth, of every element.
     """
     from urllib.parse import urljoin
 
@@ -210,10 +211,11 @@ def reader_rows(df: DataFrame, source: str, id_column: str = "doc_id", **options
                 own = n.get("base", XML_NS)
                 base = urljoin(base or "", own) if own else base
             empty = n.kind == ELEMENT and not n.children
-            outer = to_xml(n) if n.kind == ELEMENT and depth == 1 and not done else None
+            wanted = n.kind == ELEMENT and not done and (outer_depth is None or 1 <= depth <= outer_depth)
+            outer, inner = (to_xml(n), "".join(to_xml(c) for c in n.children)) if wanted else (None, None)
             value = None if n.kind == ELEMENT else n.value
             attrs = [(a.name, a.value) for a in n.attrs]
-            out.append((15 if done else n.kind, depth, n.name or names.get(n.kind, ""), n.local, n.prefix, n.ns, value, empty, len(attrs), attrs, lang, base, outer))
+            out.append((15 if done else n.kind, depth, n.name or names.get(n.kind, ""), n.local, n.prefix, n.ns, value, empty, len(attrs), attrs, lang, base, outer, inner))
             if n.kind == ELEMENT and n.children and not done:
                 stack.append((n, depth, True, lang, base))
                 stack.extend((c, depth + 1, False, lang, base) for c in reversed(n.children))
@@ -221,6 +223,6 @@ def reader_rows(df: DataFrame, source: str, id_column: str = "doc_id", **options
 
     schema = (
         "doc_id long, seq int, node_type int, depth int, name string, local_name string, prefix string, namespace_uri string, value string, is_empty boolean, "
-        "attribute_count int, attributes map<string,string>, lang string, base_uri string, outer_xml string"
+        "attribute_count int, attributes map<string,string>, lang string, base_uri string, outer_xml string, inner_xml string"
     )
     return map_documents(df, source, "xml", schema, rows, id_column, **options)

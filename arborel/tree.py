@@ -18,7 +18,7 @@ XLINK_NS = "http://www.w3.org/1999/xlink"
 class Node:
     """A node; an attribute or namespace node has an owner as its parent but is no child of it."""
 
-    __slots__ = ("kind", "local", "prefix", "ns", "value", "attrs", "decls", "children", "parent", "pre", "size", "line", "is_id")
+    __slots__ = ("kind", "local", "prefix", "ns", "value", "attrs", "decls", "children", "parent", "pre", "size", "line", "is_id", "at")
 
     def __init__(self, kind: int, local: str = "", value: str = "", ns: str | None = None, prefix: str | None = None):
         self.kind, self.local, self.value, self.ns, self.prefix = kind, local, value, ns, prefix
@@ -26,7 +26,7 @@ class Node:
         self.decls: list[tuple[str, str]] = []  # (prefix or "", uri)
         self.children: list[Node] = []
         self.parent: Node | None = None
-        self.pre = self.size = self.line = 0
+        self.pre = self.size = self.line = self.at = 0
         self.is_id = False
 
     @property
@@ -100,7 +100,14 @@ class Node:
         return child
 
     def index(self) -> int:
-        return next(i for i, c in enumerate(self.parent.children) if c is self)
+        """The node's place among its parent's children; all places are noted at once, so asking each child takes linear time."""
+        among = self.parent.children
+        if not (self.at < len(among) and among[self.at] is self):
+            for i, c in enumerate(among):
+                c.at = i
+            if not (self.at < len(among) and among[self.at] is self):
+                raise ValueError("the node is no child of its parent")
+        return self.at
 
     def unlink(self) -> Node:
         if self.parent is not None:
