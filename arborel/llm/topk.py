@@ -33,8 +33,8 @@ def quantised(embedding: Column, scale: int = 256) -> Column:
 
 #: Impact levels that the range of a shard's components is cut into, at most.
 LEVELS = 64
-#: A search looks for proof after each such share of its shard's postings.
-STEPS = 16
+#: Shares of its shard's postings after which a search looks for proof.
+STEPS = (0.4, 0.5, 0.58, 0.66, 0.74, 0.82, 0.9)
 
 
 def build_index(vectors: DataFrame, scale: int = 256, shard_rows: int = 8192) -> DataFrame:
@@ -85,18 +85,26 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, impacts: np.ndarray, postings: np.ndarray | None = None):
         self.ids, self.impacts = ids, impacts
-        self.postings = np.argsort(-impacts, axis=0, kind="stable").T if postings is None else postings
+        # By dimension, one after another in memory.
+        self.postings = np.ascontiguousarray(np.argsort(-impacts, axis=0, kind="stable").T if postings is None else postings, dtype=np.intp)
         n, dims = impacts.shape
-        self.sorted = np.take_along_axis(impacts.T, self.postings, axis=1)
+        sorted_ = np.ascontiguousarray(np.take_along_axis(impacts.T, self.postings, axis=1))
         low, high = int(impacts.min(initial=0)), int(impacts.max(initial=0))
         shift = max(0, (high - low).bit_length() - (LEVELS - 1).bit_length())
         # Levels from the highest impacts down; a segment is (dimension, level), its postings lie between two cuts.
-        level = (high >> shift) - (self.sorted >> shift)
+        level = (high >> shift) - (sorted_ >> shift)
         self.levels = (high >> shift) - (low >> shift) + 1
         self.cuts = np.array([np.searchsorted(level[d], np.arange(self.levels + 1)) for d in range(dims)])
+        self.sizes = np.diff(self.cuts, axis=1)
         self.highest = np.array([((high >> shift) - k + 1 << shift) - 1 for k in range(self.levels)], dtype=np.int64)
         self.lowest = np.array([(high >> shift) - k << shift for k in range(self.levels)], dtype=np.int64)
         self.largest = max(abs(low), abs(high))
+        # A posting adds its product to the upper digits of a sum and one to the lower, which count postings.
+        self.unit = 1 << dims.bit_length()
+        self.products = sorted_.astype(np.float64) * self.unit
+        self.exact = impacts.astype(np.float64)
+        # What one step of a search takes.
+        self.rows, self.gains = np.empty(n * dims, dtype=np.intp), np.empty(n * dims)
         self.read = 0
 
     def top(self, own: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -109,64 +117,69 @@ class Shard:
 
     def _best(self, rows: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         rows = rows[self.ids[rows] != own]
-        exact = self.impacts[rows].astype(np.int64) @ query
+        exact = self._scores(rows, query)
         best = np.lexsort((self.ids[rows], -exact))[:k]
         return self.ids[rows][best], exact[best]
 
+    def _fits(self, query: np.ndarray) -> bool:
+        """Whether sums of products with their counts are exact as floats."""
+        return self.largest * int(np.abs(query).max(initial=0)) * len(query) * self.unit < 2**52
+
+    def _scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+        if self._fits(query):
+            return (self.exact[rows] @ query.astype(np.float64)).astype(np.int64)
+        return self.impacts[rows].astype(np.int64) @ query
+
     def _possible(self, query: np.ndarray, own: int, k: int) -> np.ndarray:
-        """Rows that may be among the k best: few of them, or all whose exact sums are that good."""
+        """Rows that may be among the k best, which are few, or all rows where no proof is found."""
         n, dims = self.impacts.shape
-        few = max(4 * k + 1, n // 10)
-        if n <= few:
+        few = max(4 * k + 1, n // 8)
+        if n <= few or not self._fits(query):
             return np.arange(n)
-        # Sums of products are exact in this type; bounds are integers.
-        exact_floats = self.largest * int(np.abs(query).max(initial=0)) * dims < 2**53
-        bound = np.where(query[:, None] > 0, query[:, None] * self.highest, query[:, None] * self.lowest)
-        # Within a dimension a query takes levels from the side on which they add most, so what it has taken is a run.
+        asked = np.nonzero(query)[0]  # in other dimensions a posting adds nothing
+        q = query[asked, None]
+        bound = np.where(q > 0, q * self.highest, q * self.lowest)
+        cuts, up = self.cuts[asked], query[asked] > 0
         order = np.argsort(-bound, axis=None, kind="stable")
-        size = np.diff(self.cuts, axis=1).ravel()[order]
-        order, size = order[size > 0], size[size > 0]
-        ends = np.searchsorted(np.cumsum(size), np.arange(1, STEPS + 1) * (n * dims) / STEPS - 0.5) + 1
-        score, taken = np.zeros(n, dtype=np.float64 if exact_floats else np.int64), np.zeros(n, dtype=np.int64)
-        begin = 0
-        for end in np.unique(np.minimum(ends, len(order))):
-            segment = order[begin:end]
-            dim, level = segment // self.levels, segment % self.levels
-            rows, gains = [], []
-            for d in np.unique(dim):
-                run = level[dim == d]
-                a, b = self.cuts[d, run.min()], self.cuts[d, run.max() + 1]
-                rows.append(self.postings[d, a:b])
-                gains.append(self.sorted[d, a:b] * query[d])
-            rows, gains = np.concatenate(rows), np.concatenate(gains)
-            if exact_floats:
-                score += np.bincount(rows, weights=gains, minlength=n)
-            else:
-                np.add.at(score, rows, gains)
-            taken += np.bincount(rows, minlength=n)
-            self.read += len(rows)
-            begin = end
-            if end == len(order):
+        share = np.cumsum(self.sizes[asked].ravel()[order]) / (n * max(1, len(asked)))
+        rows, gains = self.rows, self.gains
+        total = np.zeros(n)
+        # Within a dimension a query takes levels from the side on which they add most: from the front, or from the back.
+        at = np.where(up, 0, n)
+        for step in STEPS:
+            end = int(np.searchsorted(share, step))
+            if end >= len(order):
+                break
+            least = bound.ravel()[order[end]]
+            levels = (bound >= least).sum(axis=1)
+            upto = np.where(up, np.take_along_axis(cuts, levels[:, None], 1)[:, 0], np.take_along_axis(cuts, self.levels - levels[:, None], 1)[:, 0])
+            size = 0
+            for d, a, b, weight in zip(asked.tolist(), np.minimum(at, upto).tolist(), np.maximum(at, upto).tolist(), q[:, 0].tolist()):
+                if a < b:
+                    to = slice(size, size + b - a)
+                    rows[to] = self.postings[d, a:b]
+                    np.multiply(self.products[d, a:b], weight, out=gains[to])
+                    size += b - a
+            at = upto
+            gains[:size] += 1
+            total += np.bincount(rows[:size], weights=gains[:size], minlength=n)
+            self.read += size
+            untaken = bound[bound < least]
+            if not len(untaken):
                 break
-            left = int(bound.ravel()[order[end]])
-            # Proof: no vector gains more than ``left`` from each posting that it has not been met in.
-            reach = score + (dims - taken) * left
+            taken = np.mod(total, self.unit)
+            score = (total - taken) / self.unit
+            # Proof: a vector gains at most the bound of the next segment from each posting that it has not been met in.
+            reach = score + (len(asked) - taken) * float(untaken.max())
             lead = np.argpartition(score, n - 4 * k - 1)[n - 4 * k - 1 :]
             lead = lead[self.ids[lead] != own]
             if len(lead) < k:
                 continue
-            exact = self.impacts[lead].astype(np.int64) @ query
-            rows = np.nonzero(reach >= np.partition(exact, len(exact) - k)[len(exact) - k])[0]
-            if len(rows) <= few:
-                return rows
-        return self._leaders(score, k)
-
-    def _leaders(self, score: np.ndarray, k: int) -> np.ndarray:
-        """All rows that reach the score of place k + 1, whose scores are exact: the query's own may be among them."""
-        kth = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
-        rows = np.nonzero(score >= kth)[0]
-        own_may_repeat = len(np.unique(self.ids[rows])) < len(rows)
-        return np.arange(len(score)) if own_may_repeat else rows
+            exact = self._scores(lead, query)
+            found = np.nonzero(reach >= np.partition(exact, len(exact) - k)[len(exact) - k])[0]
+            if len(found) <= few:
+                return found
+        return np.arange(n)
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, block: int = 256, together: int = 16) -> DataFrame:
