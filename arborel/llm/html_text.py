@@ -14,7 +14,7 @@ import html as entities
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -134,10 +134,11 @@ def blocks(page: str) -> list[Block]:
 
     def flush() -> None:
         nonlocal linked, anchors
-        text = " ".join(entities.unescape("".join(parts)).split())
-        if text:
-            out.append(Block(text, min(linked, len(text)), anchors, stack[-1][1], heading > 0))
-        parts.clear()
+        if parts:
+            text = " ".join(entities.unescape("".join(parts)).split())
+            if text:
+                out.append(Block(text, min(linked, len(text)), anchors, stack[-1][1], heading > 0))
+            parts.clear()
         linked = anchors = 0
 
     def add(text: str) -> None:
@@ -231,14 +232,18 @@ MANY = 40.0
 _ENDS = tuple(".!?\"'”»)…:;")
 
 
-def describe(found: list[Block]) -> np.ndarray:
+def describe(found: list[Block]) -> list[tuple[float, ...]]:
     """A row of FEATURES for each block; before the first and after the last block there are no words."""
-    words = np.array([0, *(len(b.text.split()) for b in found), 0], dtype=np.float64)
-    links = np.round([0, *(b.linked / len(b.text) for b in found), 0], 2)
+    words = [0, *(b.text.count(" ") + 1 for b in found), 0]
+    links = [0.0, *(round(b.linked / len(b.text), 2) for b in found), 0.0]
     has_article = any(b.place.tagged for b in found)
-    own = [(b.anchors, b.text.endswith(_ENDS), b.heading, b.place.beside, b.place.sign, b.place.weak, b.place.form, b.place.article, has_article) for b in found]
-    near = np.column_stack([words[1:-1], links[1:-1], words[:-2], links[:-2], words[2:], links[2:]])
-    return np.concatenate([near, np.array(own, dtype=np.float64).reshape(len(found), -1)], axis=1)
+    return [
+        (
+            words[k], links[k], words[k - 1], links[k - 1], words[k + 1], links[k + 1], b.anchors, b.text.endswith(_ENDS), b.heading,
+            b.place.beside, b.place.sign, b.place.weak, b.place.form, b.place.article, has_article,
+        )
+        for k, b in enumerate(found, 1)
+    ]
 
 
 class Tree:
@@ -267,13 +272,12 @@ class Tree:
         low = x[:, self.feature] <= self.cut
         self.low, self.high = Tree(x[low], y[low], depth - 1, least), Tree(x[~low], y[~low], depth - 1, least)
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        if self.feature < 0:
-            return np.full(len(x), self.share >= 0.5)
-        low = x[:, self.feature] <= self.cut
-        out = np.empty(len(x), dtype=bool)
-        out[low], out[~low] = self.low.predict(x[low]), self.high.predict(x[~low])
-        return out
+    def keeps(self, row: Sequence[float]) -> bool:
+        """Whether the block of these features is main text."""
+        at = self
+        while at.feature >= 0:
+            at = at.low if row[at.feature] <= at.cut else at.high
+        return at.share >= 0.5
 
     def used(self) -> set[str]:
         """Names of the features that the tree asks for."""
@@ -288,17 +292,14 @@ def trained() -> Tree:
         found = blocks(page)
         if len(found) != len(labels):
             raise ValueError(f"{len(found)} blocks and {len(labels)} labels: {[b.text for b in found]}")
-        xs.append(describe(found))
-        ys.append(np.array([c == "m" for c in labels]))
-    return Tree(np.minimum(np.concatenate(xs), MANY), np.concatenate(ys).astype(np.float64))
+        xs += describe(found)
+        ys += [c == "m" for c in labels]
+    return Tree(np.minimum(np.array(xs, dtype=np.float64), MANY), np.array(ys, dtype=np.float64))
 
 
 def main_text(page: str, tree: Tree | None = None) -> str:
-    found = blocks(page)
-    if not found:
-        return ""
-    keep = (tree or trained()).predict(describe(found))
-    return "\n".join(b.text for b, k in zip(found, keep) if k)
+    found, tree = blocks(page), tree or trained()
+    return "\n".join(b.text for b, row in zip(found, describe(found)) if tree.keeps(row))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -494,7 +494,7 @@ def test_html_tree_learns_from_neighbours():
         found = html_text.blocks(page)
         assert len(found) == len(labels)
         total += len(found)
-        right += (tree.predict(html_text.describe(found)) == np.array([c == "m" for c in labels])).sum()
+        right += sum(tree.keeps(row) == (c == "m") for row, c in zip(html_text.describe(found), labels))
     assert right >= 0.98 * total
 
 
