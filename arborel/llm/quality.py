@@ -12,6 +12,8 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -28,36 +30,41 @@ _UPPER = bytes(range(65, 91))
 _DIGIT = bytes(range(48, 58))
 #: Bytes that ordinary prose holds: white space, letters, digits, full stop, comma and all beyond ASCII.
 _PROSE = bytes(c for c in range(256) if c >= 128 or chr(c).isalnum() or c in b" \t\n\x0b\x0c\r.,")
+_BLANK = b" \t\n\r\x0b\x0c"
 _MARKS = b"!\"#$%&'()*+/:;<=>?@[\\]^_`{|}~"
 
+#: Marks become one mark, white space one blank, all else a letter: a word that ends in a mark is a mark before a blank.
+_ENDINGS = bytes(33 if c in _MARKS else 32 if c in _BLANK else 120 for c in range(256))
+
 
 def statistics(text: bytes, words: list[bytes]) -> list[float]:
     """Structure of a text, each in a scale of its own; zeros for a text without words."""
     n, size = len(words), max(1, len(text))
     if not n:
         return [0.0] * len(STATISTICS)
-    lines = text.split(b"\n")
-    full = [x.rstrip() for x in lines if x.strip()]
+    full = [x.rstrip() for x in text.split(b"\n") if x.strip()]
+    marked = text.translate(_ENDINGS)
     return [
-        sum(a == b for a, b in zip(words, words[1:])) / n,
+        sum(map(eq, words, islice(words, 1, None))) / n,
         len(set(words)) / n,
         len(text.translate(None, _PROSE)) / size,
         text.count(b"|") / n,
         (size - len(text.translate(None, _UPPER))) / size,
         (size - len(text.translate(None, _DIGIT))) / size,
-        sum(map(len, words)) / n,
+        len(text.translate(None, _BLANK)) / n,
         float(np.log1p(n)),
         float(np.log1p(n / max(1, len(full)))),
         sum(x[-1:] not in b".!?" for x in full) / max(1, len(full)),
         float(np.log1p(max(map(len, words)))),
-        sum(w.isupper() for w in words) / n,
-        sum(w[-1:] in _MARKS for w in words) / n,
+        sum(map(bytes.isupper, words)) / n,
+        (marked.count(b"! ") + marked.endswith(b"!")) / n,
     ]
 
 
-def word_buckets(words: list[bytes]) -> list[int]:
+def word_buckets(text: bytes) -> list[int]:
+    """The hash buckets of a text's distinct words, A-Z lower-cased."""
     mask, crc = (1 << WORD_BITS) - 1, zlib.crc32
-    return list({crc(w) & mask for w in {w.lower() for w in words}})
+    return list({crc(w) & mask for w in set(text.lower().split())})
 
 
 @dataclass
@@ -136,7 +143,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets, stats = [], []
         for text, more in zip(byte_rows(batch["_bytes"]), batch["_meta"].to_pylist()):
             words = text.split()
-            buckets.append(np.array(sorted(word_buckets(words)), dtype="<i4").tobytes())
+            buckets.append(np.array(sorted(word_buckets(text)), dtype="<i4").tobytes())
             stats.append(statistics(text, words) + more)
         yield pa.RecordBatch.from_arrays(
             [batch["_order"], batch["quality"], pa.array(buckets, pa.binary()), pa.array(stats, pa.list_(pa.float64()))],
@@ -182,7 +189,7 @@ def classify(docs: DataFrame, machine: Machine, into: str = "score") -> DataFram
             for value, more in zip(batch["text"], batch[meta].to_pylist()):  # one text at a time, out of the batch's own memory
                 text = (value.as_py() or "").encode()
                 words = text.split()
-                scores.append(m.score(*m.features(word_buckets(words), np.array(statistics(text, words) + more))))
+                scores.append(m.score(*m.features(word_buckets(text), np.array(statistics(text, words) + more))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], into])
 
     return base.withColumn(meta, _metadata(base, machine.metadata)).mapInArrow(run, schema)
