@@ -107,21 +107,31 @@ class Corpus:
         """
         return Paths(stored(self.nodes(), buckets), namespaces, self.kind.startswith("html"))
 
-    def extract(self, **expressions: str) -> DataFrame:
+    def extract(self, _namespaces: Mapping[str, str] | None = None, _variables: Mapping[str, object] | None = None, /, **expressions: str) -> DataFrame:
         """One row for each document with the string of each expression; nodes give their first's text, none null."""
-        from .functions import exslt  # noqa: F401
-
         names = list(expressions)
 
         def rows(doc_id, doc):
+            from .functions import exslt  # noqa: F401
+
             out = []
             for e in expressions.values():
-                v = evaluate.query(doc, e) if e.startswith(("/", "./", "(", "string(", "count(", "normalize-space(", "number(", "concat(")) else evaluate.select(doc, e)
+                find = evaluate.query if read.is_xpath(e, _namespaces) else evaluate.select
+                v = find(doc, e, namespaces=_namespaces, variables=_variables)
                 out.append((evaluate.first(v).text() if v else None) if isinstance(v, list) else evaluate.string(v))
             return [(doc_id, *out)]
 
         return self._map("doc_id long, " + ", ".join(f"`{n}` string" for n in names), rows)
 
+    def count(self, _namespaces: Mapping[str, str] | None = None, /, **expressions: str) -> DataFrame:
+        """One row for each document with the number of nodes that each path or selector finds."""
+
+        def rows(doc_id, doc):
+            found = [(evaluate.query if read.is_xpath(e, _namespaces) else evaluate.select)(doc, e, namespaces=_namespaces) for e in expressions.values()]
+            return [(doc_id, *map(len, found))]
+
+        return self._map("doc_id long, " + ", ".join(f"`{n}` long" for n in expressions), rows)
+
     # -- transformations -------------------------------------------------
     def edit(self, change: Callable[[Document], None], write: str = "auto") -> DataFrame:
         """(doc_id, source) after ``change`` has edited each document's tree in place."""

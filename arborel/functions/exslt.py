@@ -347,6 +347,8 @@ E.EXTENSIONS[f"{{{DATES}}}duration"] = _or_blank(lambda x: format_duration(0, De
 
 
 def _sum(nodes):
+    if not nodes:
+        return ""
     months, seconds = 0, Decimal(0)
     for n in nodes:
         m, s = parse_duration(n.text())

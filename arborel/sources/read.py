@@ -7,6 +7,7 @@ split and none is shuffled.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import pyarrow as pa
@@ -46,8 +47,6 @@ def parser(kind: str, **options) -> Callable[[str | bytes], Document]:
 
 def html5_decode(data: bytes, encoding: str | None = None) -> str:
     """Bytes of HTML as text: by the given encoding, byte-order mark, or a meta element of the first 1024 bytes."""
-    import re
-
     for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xfe\xff", "utf-16-be"), (b"\xff\xfe", "utf-16-le")):
         if data.startswith(mark):
             return data[len(mark) :].decode(name, "replace")
@@ -118,6 +117,14 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     return rows.select(F.xxhash64("path").alias("doc_id"), F.col("path").alias("url"), F.col("content").alias("source"))
 
 
+def is_xpath(expression: str, namespaces: Mapping[str, str] | None = None) -> bool:
+    """Whether an expression is XPath: a path from / or a dot, a variable, a parenthesis or a call; else it is a CSS selector."""
+    if expression.startswith(("/", "./", "..", "(", "$")) or expression == "." or re.match(r"[a-z-]+\(", expression):
+        return True
+    call = re.match(r"([A-Za-z_][\w.-]*):[A-Za-z_][\w.-]*\(", expression)
+    return call is not None and call[1] in (namespaces or {})
+
+
 def query(
     df: DataFrame,
     source: str,
@@ -137,21 +144,17 @@ def query(
     with "{namespace}" in front if they have one, to callables that take the
     context, the node and the arguments' values.
     """
-    import re
-
     from ..functions import exslt  # noqa: F401  registers the extension functions
     from ..plans import evaluate, xpath
 
-    is_xpath = expression.startswith(("/", "./", "..", "(")) or expression == "." or re.match(r"[a-z-]+\(", expression) is not None
-    call = re.match(r"([A-Za-z_][\w.-]*):[A-Za-z_][\w.-]*\(", expression)
-    is_xpath |= call is not None and call[1] in (namespaces or {})
-    if is_xpath:
+    as_xpath = is_xpath(expression, namespaces)
+    if as_xpath:
         xpath.parse(expression)  # errors belong to the driver
 
     def rows(doc_id, doc):
         from ..functions import exslt  # noqa: F401
 
-        find = evaluate.query if is_xpath else evaluate.select
+        find = evaluate.query if as_xpath else evaluate.select
         found = find(doc, expression, namespaces=namespaces, variables=variables, functions=functions)
         if not isinstance(found, list):
             return [(doc_id, 1, None, 0, "", evaluate.string(found))]
