@@ -204,6 +204,8 @@ def build(df: DataFrame, record: Column, name: str, root: str, order: list[Colum
     """
     keys = [F.col(c) for c in by or []]
     rows = df.select(*keys, F.struct(*[c.alias(f"_o{k}") for k, c in enumerate(order)], element(record, name, df).alias("_x")).alias("_r"))
+    if keys:  # a number of its own keeps documents apart for the parsing that follows, however few bytes they have
+        rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     parts = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("_r")).alias("_l"))
     return parts.select(*(by or []), F.concat(F.lit(f"<{root}>"), F.array_join(F.transform("_l", lambda r: r["_x"]), ""), F.lit(f"</{root}>")).alias("source"))
 
