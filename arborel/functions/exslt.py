@@ -19,7 +19,7 @@ from . import numbers
 COMMON, MATH, SETS, STRINGS, DATES, DYNAMIC, REGEXP = (f"http://exslt.org/{x}" for x in ("common", "math", "sets", "strings", "dates-and-times", "dynamic", "regular-expressions"))
 SAXON, XT, XALAN, LIBXSLT = "http://icl.com/saxon", "http://www.jclark.com/xt", "http://xml.apache.org/xalan", "http://xmlsoft.org/XSLT/namespace"
 XQUERY = "http://www.w3.org/2002/08/xquery-functions"
-#: Digits of math:constant.
+# Digits of the constants that math:constant names.
 CONSTANTS = {
     "PI": "3.1415926535897932384626433832795028841971693993751", "E": "2.71828182845904523536028747135266249775724709369996", "SQRRT2": "1.41421356237309504880168872420969807856967187537694",
     "LN2": "0.69314718055994530941723212145817656807550013436025", "LN10": "2.302585092994045684017991454684364207601101488628772976033328", "LOG2E": "1.4426950408889634073599246810018921374266459541529859341354494",

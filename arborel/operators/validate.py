@@ -1,7 +1,8 @@
 """Validation of documents against DTDs, XSD schemas and RELAX NG, and identity constraints as joins.
 
 Schemas are compiled on the driver and sent with the task; each document is
-validated where it lies.  Content models are matched by derivatives.  Identity
+validated where it lies.  Content models are matched by derivatives.  The
+wording of errors is fixed: users match on these texts.  Identity
 constraints over tables (:func:`unique_violations` and the like) are
 aggregations and anti-joins on DataFrames.
 """

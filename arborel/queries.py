@@ -99,10 +99,14 @@ def html_quirks(spark, sf_dir):
     return Corpus(pages, "html", "html5", "page_id").documents().groupBy("quirks").agg(F.count("*").alias("n"))
 
 
-@query()
+# A paragraph opens the last three bold elements before it again, in a chain, and so does the text of the footer.
+@query("""SELECT page_id, (sum(least(3, before) * filled + own) + least(3, max(before + own)))::BIGINT AS bold, sum((before * filled + own > 0)::INT)::BIGINT AS in_paragraph
+FROM (SELECT page_id, own, filled, coalesce(sum(own) OVER (PARTITION BY page_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM (SELECT page_id, k, starts_with(part, '<b>')::INT AS own, (NOT starts_with(part, '</p>') AND part <> '')::INT AS filled
+            FROM (SELECT page_id, unnest(string_split(html, '<p>')[2:]) AS part, generate_subscripts(string_split(html, '<p>')[2:], 1) AS k FROM pages))) GROUP BY page_id""")
 def html_bold_reconstruction(spark, sf_dir):
     """Blocks that active formatting elements are opened in again."""
-    return _pages(spark, sf_dir).extract(bold="count(//b)", in_paragraph="count(//p/b)").withColumnRenamed("doc_id", "page_id")
+    return _pages(spark, sf_dir).count(bold="//b", in_paragraph="//p/b").withColumnRenamed("doc_id", "page_id")
 
 
 @query("SELECT page_id, " + _UNESCAPED.format("list_extract(regexp_extract_all(html, '<li><a [^>]*>([^<]*)</a></li>', 1), 2)") + " AS second FROM pages WHERE len(regexp_extract_all(html, '<li>')) >= 2")
