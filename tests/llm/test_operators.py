@@ -431,6 +431,27 @@ def test_quality(spark, docs, no_docs):
     assert {x.score for x in quality.op7_quality(made, labels.limit(0)).collect()} == {0.5}
 
 
+def test_scores_by_all_pairs_of_features(spark, docs):
+    """The whole query against plain loops over every pair of features."""
+    r = random.Random(9)
+    made = [(k, " ".join(r.choice(["sea", "Wind", "rain!", "x9", "##"]) for _ in range(r.randint(1, 12))), r.randint(0, 90)) for k in range(60)] + [(100, "", 0), (101, None, None)]
+    df = spark.createDataFrame(made, "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(k, int("sea" in (made[k][1] or ""))) for k in range(60)], "doc_id long, quality int")
+    machine = quality.train(df, labels)
+    got = {x.doc_id: x.score for x in quality.op7_quality(df, labels).collect()}
+    for doc_id, text, n_chars in made:
+        raw = (text or "").encode()
+        stats = [*quality.statistics(raw, raw.split()), float(np.log1p(n_chars or 0))]
+        words = {zlib.crc32(w.lower()) % (1 << quality.WORD_BITS) for w in raw.split()}
+        active = {b: 1 / np.sqrt(len(words)) for b in words}
+        for k, x in enumerate(stats):
+            active[(1 << quality.WORD_BITS) + k * quality.BINS + sum(e < x for e in machine.edges[k])] = 1.0
+        total = machine.bias + sum(float(machine.weights[i]) * v for i, v in active.items())
+        for (i, v), (j, w) in itertools.combinations(active.items(), 2):
+            total += float(machine.factors[i].astype(float) @ machine.factors[j].astype(float)) * v * w
+        assert got[doc_id] == pytest.approx(1 / (1 + np.exp(-total)), abs=2e-4), text
+
+
 def test_metadata_is_a_feature(spark):
     r = random.Random(2)
     made = spark.createDataFrame([(k, " ".join(r.choices(["ab", "cd", "ef"], k=20)), 50 if k % 2 else 5000, "bad" if k == 4 else str(k)) for k in range(400)], "doc_id long, text string, n_chars long, extra string")
@@ -611,6 +632,52 @@ def test_packing_of_equal_rows(spark):
     assert out.agg(F.sum("n_tokens")).first()[0] == 500_000
 
 
+def plain_best_fit(sizes, open_size, capacities):
+    """Used space of each bin, looking through all bins for each piece."""
+    bins = []
+    for size in sorted(sizes, reverse=True):
+        fitting = [b for b in bins if b[0] - b[1] >= size]
+        if fitting:
+            min(fitting, key=lambda b: b[0] - b[1])[1] += size
+        else:
+            bins.append([open_size if size <= open_size else min(c for c in capacities if c >= size), size])
+    return sorted(used for _, used in bins)
+
+
+def cheapest(sizes, capacities, overhead):
+    """The least cost of any packing, by trying every way to put the pieces into bins."""
+    best = [float("inf")]
+
+    def place(k, used):
+        cost = sum(min(c for c in capacities if c >= u) + overhead for u in used)
+        if cost >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = cost
+            return
+        for b in range(len(used)):
+            if used[b] + sizes[k] <= capacities[-1]:
+                place(k + 1, [*used[:b], used[b] + sizes[k], *used[b + 1 :]])
+        place(k + 1, [*used, sizes[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_packing_by_brute_force():
+    r = random.Random(12)
+    capacities, overhead, ratio = [64, 128, 256], 8, []
+    for _ in range(60):
+        sizes = [r.randint(1, 256) for _ in range(r.randint(1, 7))]
+        for open_size in (64, 128, 256, 0):
+            found = packing.best_fit(sizes, open_size, capacities)
+            assert sorted(i for b in found for i in b) == list(range(len(sizes)))
+            assert sorted(sum(sizes[i] for i in b) for b in found) == plain_best_fit(sizes, open_size, capacities)
+        cost = sum(c + overhead for c, _ in packing.pack_group(sizes, capacities, overhead))
+        ratio.append(cost / cheapest(sizes, capacities, overhead))
+    assert min(ratio) >= 1 and max(ratio) < 1.25 and sum(ratio) / len(ratio) < 1.02
+
+
 def test_best_fit_takes_the_fullest_bin():
     assert packing.best_fit([60, 50, 40, 30, 20], 100, [100]) == [[0, 2], [1, 3, 4]]
     assert packing.pack_group([10], [16, 32], 2) == [(16, [0])]
