@@ -32,6 +32,8 @@ BLOCK_BITS = 16
 SLACK = 3.0
 #: Sets of so few elements differ in a larger share of bits than the limit for large sets says: 4 against 5 in 3 of 16.
 SHORT, SHORT_BITS = 6, 3 / 16
+#: So many pairs of fingerprints are compared at a time.
+STEP = 1 << 15
 _BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.int64)
 _COLUMNS = (np.arange(8) * 256).astype(np.intp)
 #: The lowest bit of each octet of a word.
@@ -120,7 +122,11 @@ class Forest:
         self.keys, self.children = keys[order], nodes[order]
 
     def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(self.fps[a] ^ self.fps[b]).sum(axis=1, dtype=np.int64)
+        out = np.empty(len(a), dtype=np.int64)
+        for k in range(0, len(a), STEP):  # whole fingerprints of all pairs at once would be most of a task's memory
+            part = slice(k, k + STEP)
+            out[part] = np.bitwise_count(self.fps[a[part]] ^ self.fps[b[part]]).sum(axis=1, dtype=np.int64)
+        return out
 
     def within(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (query, node) at most ``radius`` apart, by levels of the trees."""

@@ -208,6 +208,23 @@ def test_pairs_at_the_similarity_are_met(spark):
     assert simhash.met(0.8, 24, 8) > 0.997 and simhash.met(0.8, 12, 8, 1.5) < 0.93
 
 
+def test_proposals_of_a_full_shard_take_little_memory():
+    import tracemalloc
+
+    r = np.random.default_rng(1)
+    fps = r.integers(0, 2**64, (4096, 8), dtype=np.uint64)
+    fps[1::2] = fps[::2] ^ (np.uint64(1) << r.integers(0, 64, (2048, 8), dtype=np.uint64))  # eight bits from its neighbour
+    fps[:, 0] = fps[0, 0]  # all agree on the first block, where the pairs count
+    n, shard = np.full(4096, 100), np.zeros(4096, dtype=np.int64)
+    tracemalloc.start()
+    found = simhash._proposed(shard, n, fps, 102, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.tolist() == list(range(4096)) and peak < 150e6
+    a, b = r.integers(0, 4096, (2, 2 * simhash.STEP + 5))
+    assert simhash.Forest(shard, fps).distance(a, b).tolist() == np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1).tolist()
+
+
 def test_similar_links_by_brute_force():
     r = random.Random(2)
     sets = [np.array(sorted(r.sample(range(30), r.randrange(0, 14))), dtype=np.uint64) for _ in range(150)]
