@@ -12,7 +12,7 @@ from .operators import head
 from .operators import serialize as S
 from .operators import validate as V
 from .operators import xinclude
-from .plans import evaluate, xslt
+from .plans import evaluate, xpath, xslt
 from .plans.relational import NotRelational, Paths, stored
 from .sources import read, xml
 from .tree import Document, Node
@@ -32,8 +32,8 @@ class Corpus:
     def files(cls, spark: SparkSession, path: str, kind: str = "xml", glob: str | None = None, **options) -> Corpus:
         return cls(read.read_files(spark, path, glob), "source", kind, "doc_id", **options)
 
-    def _map(self, schema: str, rows: Callable, **more) -> DataFrame:
-        return read.map_documents(self.df, self.source, self.kind, schema, rows, self.id_column, **self.options)
+    def _map(self, schema: str, rows: Callable, repeatable: bool = False) -> DataFrame:
+        return read.map_documents(self.df, self.source, self.kind, schema, rows, self.id_column, repeatable, **self.options)
 
     # -- tables ----------------------------------------------------------
     def nodes(self, text_cap: int = 4096) -> DataFrame:
@@ -42,12 +42,13 @@ class Corpus:
     def documents(self) -> DataFrame:
         return read.parse_documents(self.df, self.source, self.kind, self.id_column, **self.options)
 
-    def attributes(self) -> DataFrame:
-        n = self.nodes()
+    def attributes(self, nodes: DataFrame | None = None) -> DataFrame:
+        """A row for each attribute, of the node table ``nodes`` if that is there already."""
+        n = self.nodes() if nodes is None else nodes
         return n.select("doc_id", F.col("pre").alias("owner"), F.posexplode("attrs").alias("ord", "a")).select("doc_id", "owner", "ord", "a.*")
 
-    def namespaces(self) -> DataFrame:
-        n = self.nodes()
+    def namespaces(self, nodes: DataFrame | None = None) -> DataFrame:
+        n = self.nodes() if nodes is None else nodes
         return n.select("doc_id", F.col("pre").alias("owner"), F.posexplode("decls").alias("ord", "d")).select("doc_id", "owner", "ord", "d.*")
 
     def events(self) -> DataFrame:
@@ -110,25 +111,28 @@ class Corpus:
     def extract(self, _namespaces: Mapping[str, str] | None = None, _variables: Mapping[str, object] | None = None, /, **expressions: str) -> DataFrame:
         """One row for each document with the string of each expression; nodes give their first's text, none null."""
         names = list(expressions)
+        paths = [(read.is_xpath(e, _namespaces), e) for e in expressions.values()]
 
         def rows(doc_id, doc):
             from .functions import exslt  # noqa: F401
 
-            out = []
-            for e in expressions.values():
-                find = evaluate.query if read.is_xpath(e, _namespaces) else evaluate.select
-                v = find(doc, e, namespaces=_namespaces, variables=_variables)
+            context = evaluate.Context(doc, _namespaces, _variables)
+            out = [doc_id]
+            for is_xpath, e in paths:
+                v = evaluate.evaluate(xpath.parse(e), doc.node, context) if is_xpath else evaluate.select(doc, e, context=context)
                 out.append((evaluate.first(v).text() if v else None) if isinstance(v, list) else evaluate.string(v))
-            return [(doc_id, *out)]
+            return [tuple(out)]
 
-        return self._map("doc_id long, " + ", ".join(f"`{n}` string" for n in names), rows)
+        return self._map("doc_id long, " + ", ".join(f"`{n}` string" for n in names), rows, all(not is_xpath or evaluate.repeatable(xpath.parse(e), _namespaces) for is_xpath, e in paths))
 
     def count(self, _namespaces: Mapping[str, str] | None = None, /, **expressions: str) -> DataFrame:
         """One row for each document with the number of nodes that each path or selector finds."""
 
+        paths = [(evaluate.query if read.is_xpath(e, _namespaces) else evaluate.select, e) for e in expressions.values()]
+
         def rows(doc_id, doc):
-            found = [(evaluate.query if read.is_xpath(e, _namespaces) else evaluate.select)(doc, e, namespaces=_namespaces) for e in expressions.values()]
-            return [(doc_id, *map(len, found))]
+            context = evaluate.Context(doc, _namespaces)
+            return [(doc_id, *[len(find(doc, e, context=context)) for find, e in paths])]
 
         return self._map("doc_id long, " + ", ".join(f"`{n}` long" for n in expressions), rows)
 

@@ -14,6 +14,7 @@ from .functions import exslt
 from .operators import edit, nodeset
 from .operators import validate as V
 from .plans import evaluate
+from .plans.relational import stored
 from .queries import QUERIES, SQL, _orders, _pages, query, table
 from .sources import read
 from .streaming import push_parse, shared_path
@@ -272,13 +273,13 @@ def reader_rows(spark, sf_dir):
 
 @query("SELECT 'attribute' AS what, 4 * count(*) AS n FROM customer UNION ALL SELECT 'namespace', 2 * count(*) FROM customer UNION ALL SELECT 'document', count(*) FROM customer UNION ALL SELECT 'element', 5 * count(*) FROM customer UNION ALL SELECT 'child of the element', 5 * count(*) FROM customer UNION ALL SELECT 'next element', 3 * count(*) FROM customer UNION ALL SELECT 'parent', count(*) FROM customer UNION ALL SELECT 'first', count(*) FROM customer")
 def node_tables(spark, sf_dir):
-    """Rows of the relational form and of navigation by joins over it."""
+    """Rows of the relational form, which is written once, and of navigation by joins over it."""
     c = _customers(spark, sf_dir)
-    nodes = c.nodes()
+    nodes = stored(c.nodes())
     elements = nodes.where(nodeset.is_element())
     root, inner = elements.where("level = 1"), elements.where("level = 2")
     parts = {
-        "attribute": c.attributes(), "namespace": c.namespaces(), "document": c.documents(), "element": elements, "child of the element": nodeset.children(root, nodes), "next element": nodeset.next_element(inner, nodes),
+        "attribute": c.attributes(nodes), "namespace": c.namespaces(nodes), "document": c.documents(), "element": elements, "child of the element": nodeset.children(root, nodes), "next element": nodeset.next_element(inner, nodes),
         "parent": nodeset.parent(inner, nodes).select("doc_id", "pre").distinct(), "first": nodeset.first(inner),
     }
     counted = [d.agg(F.count("*").alias("n")).select(F.lit(k).alias("what"), "n") for k, d in parts.items()]

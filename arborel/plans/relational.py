@@ -59,7 +59,8 @@ def stored(nodes: DataFrame, buckets: int | None = None) -> DataFrame:
     if shared:
         writer = writer.option("path", f"{shared.rstrip('/')}/{name}")
     writer.saveAsTable(name)
-    return spark.table(name)
+    # Its files hold a node in a few bytes, so their size says little about what a broadcast would take.
+    return spark.table(name).hint("merge")
 
 
 def _with_whole_text(nodes: DataFrame) -> DataFrame:
@@ -69,7 +70,7 @@ def _with_whole_text(nodes: DataFrame) -> DataFrame:
     """
     long = nodes.where((F.col("kind") == ELEMENT) & F.col("text").isNull())
     whole = nodeset.string_value(long, nodes).select(F.col("doc_id").alias("_td"), F.col("pre").alias("_tp"), "content")
-    rows = nodes.join(whole, (F.col("doc_id") == F.col("_td")) & (F.col("pre") == F.col("_tp")), "left")
+    rows = nodes.join(whole.hint("merge"), (F.col("doc_id") == F.col("_td")) & (F.col("pre") == F.col("_tp")), "left")
     return rows.withColumn("text", F.coalesce("text", "content")).select(*nodes.columns)
 
 
@@ -184,7 +185,7 @@ class Paths:
                     "following": pre > F.col("_c") + F.col("_size"),
                     "preceding": (pre + size < F.col("_c")) & ~((pre <= F.col("_parent")) & (F.col("_c") <= pre + size)),
                 }[axis]
-                rows = c.join(n, (F.col("_d") == F.col("doc_id")) & on).select("doc_id", *carried, *NODE, "_c")
+                rows = c.join(n.hint("merge"), (F.col("_d") == F.col("doc_id")) & on).select("doc_id", *carried, *NODE, "_c")
         window = Window.partitionBy("doc_id", *carried, "_c")
         for p in predicates:
             rows = self._predicate(rows, p, window, reverse)
@@ -294,11 +295,11 @@ class Paths:
         value = F.coalesce(F.col("text"), F.col("value"), F.lit(""))
         left, right = (self._sub(rows, x).select("doc_id", "org", value.alias(v)) for x, v in ((a, "_x"), (b, "_y")))
         if op == "=":
-            return self._exists(rows, left.join(right.withColumnRenamed("_y", "_x"), ["doc_id", "org", "_x"], "left_semi"))
+            return self._exists(rows, left.join(right.withColumnRenamed("_y", "_x").hint("merge"), ["doc_id", "org", "_x"], "left_semi"))
         if op != "!=":  # as numbers; NaN compares with nothing
             left, right = (d.select("doc_id", "org", X.number(F.col(v)).alias(v)).where(~F.isnan(v)) for d, v in ((left, "_x"), (right, "_y")))
         sides = [d.groupBy("doc_id", "org").agg(F.min(v).alias(f"{v}_min"), F.max(v).alias(f"{v}_max")) for d, v in ((left, "_x"), (right, "_y"))]
-        both = sides[0].join(sides[1], ["doc_id", "org"])
+        both = sides[0].join(sides[1].hint("merge"), ["doc_id", "org"])
         x_min, x_max, y_min, y_max = (F.col(c) for c in ("_x_min", "_x_max", "_y_min", "_y_max"))
         holds = {"!=": (x_min != y_max) | (x_max != y_min), "<": x_min < y_max, "<=": x_min <= y_max, ">": x_max > y_min, ">=": x_max >= y_min}[op]
         return self._exists(rows, both.where(holds))
@@ -310,14 +311,14 @@ class Paths:
         self._joined += 1
         name = f"_string{self._joined}"
         first = first.select(F.col("doc_id").alias("_hd"), F.col("org").alias("_hp"), F.col("_v").alias(name))
-        rows = rows.join(first, (F.col("doc_id") == F.col("_hd")) & (F.col("pre") == F.col("_hp")), "left").drop("_hd", "_hp")
+        rows = rows.join(first.hint("merge"), (F.col("doc_id") == F.col("_hd")) & (F.col("pre") == F.col("_hp")), "left").drop("_hd", "_hp")
         return rows, F.col(name)
 
     def _exists(self, rows: DataFrame, found: DataFrame) -> tuple[DataFrame, Column]:
         self._joined += 1
         flag = f"_has{self._joined}"
         hit = found.select(F.col("doc_id").alias("_hd"), F.col("org").alias("_hp")).distinct().withColumn(flag, F.lit(True))
-        rows = rows.join(hit, (F.col("doc_id") == F.col("_hd")) & (F.col("pre") == F.col("_hp")), "left").drop("_hd", "_hp")
+        rows = rows.join(hit.hint("merge"), (F.col("doc_id") == F.col("_hd")) & (F.col("pre") == F.col("_hp")), "left").drop("_hd", "_hp")
         return rows, F.coalesce(F.col(flag), F.lit(False))
 
     def _own(self, tree: tuple) -> Column | None:
@@ -374,7 +375,7 @@ class Paths:
             self._joined += 1
             n = f"_count{self._joined}"
             found = found.select(F.col("doc_id").alias("_hd"), F.col("org").alias("_hp"), F.col("_n").alias(n))
-            rows = rows.join(found, (F.col("doc_id") == F.col("_hd")) & (F.col("pre") == F.col("_hp")), "left").drop("_hd", "_hp")
+            rows = rows.join(found.hint("merge"), (F.col("doc_id") == F.col("_hd")) & (F.col("pre") == F.col("_hp")), "left").drop("_hd", "_hp")
             return rows, F.coalesce(F.col(n), F.lit(0.0)), True
         if name in ("local-name", "name") and not args:
             return rows, F.col("local") if name == "local-name" else F.concat_ws(":", "prefix", "local"), False

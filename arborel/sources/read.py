@@ -2,13 +2,16 @@
 
 Parsing is the only step that needs Python: batches of whole documents cross
 over Arrow, and a document is parsed where its row lies.  No document is ever
-split and none is shuffled.
+split.  None is shuffled, unless its table is small and lies in fewer files than
+the cluster has cores (see :func:`dealt`).
 """
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterable, Iterator, Mapping
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +23,12 @@ from .. import model
 from ..tree import DOCUMENT, Document, Node
 from . import html4, html5, xml
 
-#: How many source characters are parsed before their rows are handed on.
-CHUNK = 1 << 20
+#: How many source characters are parsed before their rows are handed on; a document and a row count as so many besides.
+CHUNK, DOCUMENT_COST, ROW_COST = 1 << 20, 1024, 256
+#: How many documents of a batch are Python objects at a time.
+SLICE = 64
+#: Of how many sources, and of sources of how many characters, a task keeps the rows in case they come again.
+KEPT, KEPT_LENGTH = 4096, 1024
 
 
 def parser(kind: str, **options) -> Callable[[str | bytes], Document]:
@@ -68,31 +75,103 @@ def map_documents(
     schema: str | T.StructType,
     rows_of: Callable[[int | None, Document], Iterable[tuple]],
     id_column: str = "doc_id",
+    repeatable: bool = False,
     **options,
 ) -> DataFrame:
     """Apply ``rows_of`` to every parsed document; its rows have ``schema``.
 
+    ``repeatable`` says that the rows begin with the id and that all else in them
+    follows from the source, so that short sources that come again in a task
+    needn't be parsed again.
+
     Null source is an empty document.  A document that strict XML options refuse
     raises; recovering options and HTML never do.
     """
     target = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(target)
-    rows = df.select(F.col(id_column).cast("long").alias("_id"), F.col(source).alias("_source"))
+    rows = dealt(df).select(F.col(id_column).cast("long").alias("_id"), F.col(source).alias("_source"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = parser(kind, **options)
-        out, size = [], 0
-        for batch in batches:
-            for doc_id, text in zip(batch["_id"].to_pylist(), batch["_source"].to_pylist()):
-                doc = read(text) if text is not None else Document(Node(DOCUMENT), kind).number()
-                out.extend(rows_of(doc_id, doc))
-                size += len(text or "")
+        out, size, doc = [], 0, None
+        kept: dict[str | bytes, list[tuple]] = {}
+        with _collected_by_chunk():
+            for doc_id, text in _each(batches):
+                made = kept.get(text)
+                if made is not None:
+                    out.extend([(doc_id, *r) for r in made])
+                else:
+                    doc = read(text) if text is not None else Document(Node(DOCUMENT), kind).number()
+                    made = list(rows_of(doc_id, doc))
+                    out.extend(made)
+                    if repeatable and text is not None and len(text) <= KEPT_LENGTH:
+                        if len(kept) == KEPT:
+                            kept.clear()
+                        kept[text] = [r[1:] for r in made]
+                size += len(text or "") + DOCUMENT_COST + ROW_COST * len(made)
                 if size >= CHUNK:
-                    yield _batch(out, arrow)
-                    out, size = [], 0
-        yield _batch(out, arrow)
+                    made = _batch(out, arrow)
+                    out, size, doc = [], 0, None
+                    gc.collect()
+                    yield made
+                    del made
+            yield _batch(out, arrow)
+
+    out = rows.mapInArrow(run, target)
+    # What comes of a document may be many times its size in the files, which is all that
+    # Spark goes by: joins of it must not be planned as broadcasts through the driver.
+    return out if df.isStreaming else out.hint("merge")
+
+
+@contextmanager
+def _collected_by_chunk() -> Iterator[None]:
+    """Trees are cycles that only the collector frees.  Left to itself it goes through them while they are in
+    use, and takes those that it has seen for long-lived; here the caller collects after each chunk."""
+    was = gc.isenabled()
+    gc.freeze()
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.unfreeze()
+        if was:
+            gc.enable()
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str | bytes | None]]:
+    """The documents of batches; a batch may hold thousands, of which few are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            yield from zip(part["_id"].to_pylist(), part["_source"].to_pylist())
 
-    return rows.mapInArrow(run, target)
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Documents in tasks enough for all cores; starts no job.
+
+    A table of short rows may have any number of them in a few files, or in one
+    row group of one file, which would be one task.  Such a table is dealt out
+    row by row.  What is larger than the cores' share of splits, lies in as many
+    files as there are cores, or was dealt into a number of partitions before
+    (as :func:`arborel.corpus.build` does), stays where it is.
+    """
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    size = sum(int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size()))
+    if size >= cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes():
+        return df
+    at = plan
+    while at.children().size() == 1:
+        if at.nodeName() in ("RepartitionByExpression", "Repartition"):
+            return df
+        at = at.children().apply(0)
+    if at.children().size() == 0 and len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(max(2 * cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
