@@ -57,7 +57,7 @@ def node_rows(doc_id: int | None, doc: Document, text_cap: int = 4096) -> list[t
     place: dict[int, tuple[int, int | None]] = {}
     level: dict[int, int] = {}
     lengths: dict[int, int] = {}
-    order = list(doc.node.walk())
+    order = doc.node.preorder()
     for n in reversed(order):  # length of each string-value, children before parents
         own = len(n.value) if n.kind in (TEXT, CDATA) else lengths.get(id(n), 0)
         if n.parent is not None:

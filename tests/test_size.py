@@ -39,3 +39,39 @@ def test_documents_of_one_file_are_dealt_to_all_cores(spark, many, tmp_path):
     assert sorted(r.b for r in found.collect()) == sorted(map(str, range(50)))
     kept = one.df.repartition(3, "doc_id")
     assert Corpus(kept, "source", "xml").extract(b="//b").rdd.getNumPartitions() == 3  # dealt on purpose, as by build
+
+
+def test_sources_that_come_again_are_parsed_once_in_a_task(spark, tmp_path):
+    from arborel.plans import evaluate, xpath
+
+    ns = {"date": "http://exslt.org/dates-and-times", "math": "http://exslt.org/math", "dyn": "http://exslt.org/dynamic"}
+    for expression, holds in (("date:year(//d)", True), ("count(//d[last()])", True), ("date:year()", False), ("//d[math:random() > 2]", False), ("dyn:evaluate('1')", False), ("own:f(1)", False)):
+        assert evaluate.repeatable(xpath.parse(expression), ns) is holds, expression
+    seen = spark.sparkContext.accumulator(0)
+
+    def rows(i, d):
+        seen.add(1)
+        return [(i, d.root.text())]
+
+    df = spark.range(400).selectExpr("id AS doc_id", "concat('<d>', id % 4, '</d>') AS source").repartition(2)
+    from arborel.sources import read
+
+    found = read.map_documents(df, "source", "xml", "doc_id long, text string", rows, repeatable=True).collect()
+    assert sorted((r.doc_id, r.text) for r in found) == [(i, str(i % 4)) for i in range(400)] and seen.value <= 8
+
+
+def test_parts_of_dates_are_found_once(spark):
+    """Twenty parts of one date, however often they are asked for, take one reading of its text."""
+    from arborel.functions import exslt
+    from arborel.plans import evaluate
+    from arborel.sources import xml
+
+    ns = {"date": exslt.DATES, "set": exslt.SETS}
+    doc = xml.parse("<o><d>2024-02-29T10:11:12</d><e/><e k='2'/><e k='1'/></o>")
+    exslt.moment.cache_clear()
+    context = evaluate.Context(doc, ns)
+    ask = lambda e: evaluate.query(doc, e, context=context)
+    assert [ask(f"date:{f}(//d)") for f in ("year", "month-name", "day-name", "day-in-year", "time", "day-abbreviation")] == [2024.0, "February", "Thursday", 60.0, "10:11:12", "Thu"]
+    assert ask("date:add(//d, 'P1Y')") == "2025-02-28T10:11:12" and ask("date:date(//d)") == "2024-02-29"  # adding leaves the date as it was
+    assert exslt.moment.cache_info().misses == 1 and len(context.found) == 1
+    assert [a.value for a in ask("set:distinct(//e)/../e/@k")] == ["2", "1"]
