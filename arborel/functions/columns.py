@@ -67,7 +67,7 @@ def less(a: Column, b: Column) -> Column:
 
 
 def divide(a: Column, b: Column) -> Column:
-    return F.when(b != 0, a / F.when(b != 0, b)).when(F.isnan(a) | F.isnan(b) | (a == 0), nan()).when(a > 0, inf()).otherwise(-inf())
+    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).when(b != 0, a / F.when(b != 0, b)).when(F.isnan(a) | F.isnan(b) | (a == 0), nan()).when(a > 0, inf()).otherwise(-inf())
 
 
 def modulo(a: Column, b: Column) -> Column:
@@ -75,12 +75,17 @@ def modulo(a: Column, b: Column) -> Column:
     return F.when((b == 0) | F.isnan(a) | F.isnan(b) | (F.abs(a) == inf()), nan()).otherwise(a % F.when(b != 0, b))
 
 
+def _whole(x: Column, n: Column) -> Column:
+    """The integer ``n`` that ``x`` is rounded to, as a double; zero has the sign of ``x``, and what has no fraction stays."""
+    return F.when(finite(x) & (F.abs(x) < 2.0**52), F.when(n == 0, x * 0.0).otherwise(n.cast("double"))).otherwise(x)
+
+
 def floor(x: Column) -> Column:
-    return F.when(finite(x) & (F.abs(x) < 2.0**52), F.floor(x).cast("double")).otherwise(x)
+    return _whole(x, F.floor(x))
 
 
 def ceiling(x: Column) -> Column:
-    return F.when(finite(x) & (F.abs(x) < 2.0**52), F.ceil(x).cast("double")).otherwise(x)
+    return _whole(x, F.ceil(x))
 
 
 def round_(x: Column) -> Column:

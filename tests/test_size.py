@@ -75,3 +75,29 @@ def test_parts_of_dates_are_found_once(spark):
     assert ask("date:add(//d, 'P1Y')") == "2025-02-28T10:11:12" and ask("date:date(//d)") == "2024-02-29"  # adding leaves the date as it was
     assert exslt.moment.cache_info().misses == 1 and len(context.found) == 1
     assert [a.value for a in ask("set:distinct(//e)/../e/@k")] == ["2", "1"]
+
+
+def test_titles_cut_within_a_reference(spark, tmp_path):
+    from arborel import queries
+
+    pages = [(1, '<html lang="en"><title>a&amp;&lt;b&amp</title>'), (2, "<html><title>x &eacute; &copy y&#65</title>")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = {r.page_id: (r.title, r.lang) for r in queries.html_title_lang(spark, str(tmp_path)).collect()}
+    assert found == {1: ("a&<b&amp", "en"), 2: ("x é &copy y&#65", "")}
+    assert queries._pages(spark, str(tmp_path)).extract(t="//title").where("doc_id = 1").first().t == "a&<b&"  # as HTML reads it
+
+
+def test_arithmetic_of_odd_numbers_equals_sql(spark, tmp_path):
+    """Nulls, signed zeros, negative prices, prices at a multiple of seven, infinity and NaN."""
+    from arborel import queries
+
+    duckdb = pytest.importorskip("duckdb")
+    nan, inf = float("nan"), float("inf")
+    prices = [None, 0.0, -0.0, 0.3, -0.3, 3.5, -3.5, -7.0, 7.0, 6.999999999999999, 69999.99999999999, 1e300, inf, nan]
+    rows = [(k, 1, q, p, d) for k, (q, p, d) in enumerate((q, p, d) for q in (None, 0.0, -5.0, 5.0, nan) for p in prices for d in (None, 0.0, -0.0, 0.1, -0.1, nan))]
+    df = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double")
+    df.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(queries.SQL["xpath_arithmetic"]).fetchall()
+    assert sorted(map(repr, (tuple(r) for r in queries.xpath_arithmetic(spark, str(tmp_path)).collect()))) == sorted(map(repr, want))
