@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .corpus import Corpus, escape_text
 from .functions import exslt
-from .operators import edit, nodeset
+from .operators import edit, nodeset, serialize
 from .operators import validate as V
 from .plans import evaluate
 from .plans.relational import stored
@@ -253,10 +253,14 @@ def write_markup(spark, sf_dir):
 @query(f"""SELECT c_custkey, '<c:customer xmlns:c="urn:c" xmlns="urn:d" key="' || c_custkey || '" xml:lang="en-GB"><?seg ' || {_SEG} || '?><name>' || {_NAME} || '</name><c:bal unit="eur">' || {_BAL} || '</c:bal><note xml:lang="de">&lt;' || {_SEG} || '&gt; &amp; A</note><empty></empty></c:customer>' AS plain,
 '<!--' || {_SEG} || '-->' AS comment FROM customer""")
 def canonical_forms(spark, sf_dir):
-    """Canonical XML without comments, and the comment that stands before the document element with them."""
-    c = _customers(spark, sf_dir)
-    plain, full = c.canonical().select(F.col("doc_id").alias("c_custkey"), F.col("source").alias("plain")), c.canonical(comments=True).select(F.col("doc_id").alias("k"), F.regexp_extract("source", "^(<!--.*?-->)", 1).alias("comment"))
-    return plain.join(full, F.col("c_custkey") == F.col("k")).select("c_custkey", F.regexp_replace("plain", ' xmlns="urn:d" xmlns:c="urn:c"', ' xmlns:c="urn:c" xmlns="urn:d"').alias("plain"), "comment")
+    """Canonical XML without comments, and the comment that stands before the document element with them, of one parse."""
+
+    def rows(i, d):
+        return [(i, serialize.canonical(d), serialize.canonical(d, comments=True))]
+
+    out = read.map_documents(_customers(spark, sf_dir).df, "source", "xml", "c_custkey long, plain string, full string", rows, "c_custkey")
+    plain = F.regexp_replace("plain", ' xmlns="urn:d" xmlns:c="urn:c"', ' xmlns:c="urn:c" xmlns="urn:d"')
+    return out.select("c_custkey", plain.alias("plain"), F.regexp_extract("full", "^(<!--.*?-->)", 1).alias("comment"))
 
 
 # -- tables of a corpus --------------------------------------------------
@@ -328,7 +332,7 @@ def parse_sources(spark, sf_dir):
 @query("SELECT c_custkey, floor(c_acctbal)::BIGINT::VARCHAR AS value FROM customer")
 def push_parse_stream(spark, sf_dir):
     """Documents that arrive as a stream of chunks, in any order."""
-    c = _customers(spark, sf_dir).df
+    c = read.dealt(_customers(spark, sf_dir).df)
     place = shared_path(spark, "chunks")
     pieces = F.array(*[F.struct(F.lit(k).cast("long").alias("seq"), F.substring("source", 1 + 90 * k, 90 if k < 3 else 100_000).alias("chunk"), F.lit(k == 3).alias("last")) for k in (2, 0, 3, 1)])
     c.select(F.col("c_custkey").cast("long").alias("doc_id"), F.inline(pieces)).write.parquet(f"{place}/in")

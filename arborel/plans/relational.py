@@ -293,6 +293,10 @@ class Paths:
     def _some_pair(self, rows: DataFrame, op: str, a: tuple, b: tuple) -> tuple[DataFrame, Column]:
         """Whether some node of ``a`` and some of ``b`` compare: an equi-join for =, else the extremes of both sides."""
         value = F.coalesce(F.col("text"), F.col("value"), F.lit(""))
+        if _of_siblings(a) and not _of_siblings(b):
+            a, b, op = b, a, {"<": ">", "<=": ">=", ">": "<", ">=": "<="}.get(op, op)
+        if _of_siblings(b):
+            return self._exists(rows, self._sibling_pair(rows, op, a, b, value))
         left, right = (self._sub(rows, x).select("doc_id", "org", value.alias(v)) for x, v in ((a, "_x"), (b, "_y")))
         if op == "=":
             return self._exists(rows, left.join(right.withColumnRenamed("_y", "_x").hint("merge"), ["doc_id", "org", "_x"], "left_semi"))
@@ -300,9 +304,34 @@ class Paths:
             left, right = (d.select("doc_id", "org", X.number(F.col(v)).alias(v)).where(~F.isnan(v)) for d, v in ((left, "_x"), (right, "_y")))
         sides = [d.groupBy("doc_id", "org").agg(F.min(v).alias(f"{v}_min"), F.max(v).alias(f"{v}_max")) for d, v in ((left, "_x"), (right, "_y"))]
         both = sides[0].join(sides[1].hint("merge"), ["doc_id", "org"])
-        x_min, x_max, y_min, y_max = (F.col(c) for c in ("_x_min", "_x_max", "_y_min", "_y_max"))
-        holds = {"!=": (x_min != y_max) | (x_max != y_min), "<": x_min < y_max, "<=": x_min <= y_max, ">": x_max > y_min, ">=": x_max >= y_min}[op]
-        return self._exists(rows, both.where(holds))
+        return self._exists(rows, both.where(_extremes_hold(op)))
+
+    def _sibling_pair(self, rows: DataFrame, op: str, a: tuple, b: tuple, value: Column) -> DataFrame:
+        """The rows for which some node of ``a`` and some of ``b``, a path from siblings before or after, compare.
+
+        The siblings' values are found once for each sibling, not for each pair
+        of siblings: with the place of the first and last sibling that has a value
+        for =, else with the extremes of all before or after a place.
+        """
+        axis, test, _ = b[3][0]
+        before, place = axis == "preceding-sibling", F.struct("parent", "pre").alias("org")
+        at = rows.where(F.col("kind") != 2).select("doc_id", place, *NODE).dropDuplicates(["doc_id", "org"])
+        siblings = self.nodes.where(self._test(test, ELEMENT)).select("doc_id", place, *NODE)
+        left = self._path(a, at).select("doc_id", F.col("org.parent").alias("_up"), F.col("org.pre").alias("org"), value.alias("_x"))
+        right = self._path((*b[:3], b[3][1:]), siblings) if b[3][1:] else siblings
+        right = right.select("doc_id", F.col("org.parent").alias("_up"), F.col("org.pre").alias("org"), value.alias("_y"))
+        if op == "=":
+            ends = right.groupBy("doc_id", "_up", F.col("_y").alias("_x")).agg((F.min if before else F.max)("org").alias("_end"))
+            ends = ends.select(*[F.col(c).alias(f"_r{c}") for c in ends.columns])
+            same = (F.col("doc_id") == F.col("_rdoc_id")) & (F.col("_up") == F.col("_r_up")) & (F.col("_x") == F.col("_r_x"))
+            return left.join(ends.hint("merge"), same & (F.col("_r_end") < F.col("org") if before else F.col("_r_end") > F.col("org")), "left_semi")
+        if op != "!=":  # as numbers; NaN compares with nothing
+            left, right = (d.withColumn(v, X.number(F.col(v))).where(~F.isnan(v)) for d, v in ((left, "_x"), (right, "_y")))
+        sides = [d.groupBy("doc_id", "_up", "org").agg(F.min(v).alias(f"{v}_min"), F.max(v).alias(f"{v}_max")) for d, v in ((left, "_x"), (right, "_y"))]
+        others = Window.partitionBy("doc_id", "_up").orderBy(F.col("org") if before else F.col("org").desc()).rangeBetween(Window.unboundedPreceding, -1)
+        both = sides[0].unionByName(sides[1], allowMissingColumns=True).where(F.col("_up").isNotNull())
+        both = both.withColumns({"_y_min": F.min("_y_min").over(others), "_y_max": F.max("_y_max").over(others)})
+        return both.where(F.col("_x_min").isNotNull() & _extremes_hold(op))
 
     def _first(self, rows: DataFrame, path: tuple) -> tuple[DataFrame, Column]:
         """The string-value of the first node in document order of a relative path from each row; null if there is none."""
@@ -407,6 +436,16 @@ def _calls(tree, name: str) -> bool:
     return isinstance(tree, tuple) and ((len(tree) > 1 and tree[0] == "call" and tree[1] == name) or any(_calls(x, name) for x in tree))
 
 
+def _of_siblings(tree: tuple) -> bool:
+    """Whether a relative path begins with all siblings of a name or type before or after the row."""
+    return not tree[1] and tree[2] is None and tree[3][0][0] in ("preceding-sibling", "following-sibling") and not tree[3][0][2]
+
+
+def _extremes_hold(op: str) -> Column:
+    x_min, x_max, y_min, y_max = (F.col(c) for c in ("_x_min", "_x_max", "_y_min", "_y_max"))
+    return {"!=": (x_min != y_max) | (x_max != y_min), "<": x_min < y_max, "<=": x_min <= y_max, ">": x_max > y_min, ">=": x_max >= y_min}[op]
+
+
 def _element_siblings(path: tuple) -> str | None:
     steps = path[3]
     if not path[1] and path[2] is None and len(steps) == 1 and steps[0] == ("preceding-sibling", ("name", None, None), ()):

@@ -52,11 +52,11 @@ def push_parse(chunks: DataFrame, expression: str, kind: str = "xml", timeout: s
     push parser's ``finish`` does.
     """
     milliseconds = int(pd.Timedelta(timeout).total_seconds() * 1000)
+    find = evaluate.query if expression.startswith(("/", "(", ".")) else evaluate.select
+    parse = read.parser(kind)
 
     def results(doc_id: int, parts: dict[int, str]) -> pd.DataFrame:
-        doc = read.parser(kind)("".join(parts[k] for k in sorted(parts)))
-        find = evaluate.query if expression.startswith(("/", "(", ".")) else evaluate.select
-        found = find(doc, expression)
+        found = find(parse("".join(parts[k] for k in sorted(parts))), expression)
         values = [n.text() for n in found] if isinstance(found, list) else [evaluate.string(found)]
         return pd.DataFrame({"doc_id": [doc_id] * len(values), "seq": range(1, len(values) + 1), "value": values})
 
@@ -69,10 +69,11 @@ def push_parse(chunks: DataFrame, expression: str, kind: str = "xml", timeout: s
         seqs, texts, last = state.get if state.exists else ([], [], -1)
         parts = dict(zip(seqs, texts))
         for frame in frames:
-            for r in frame.itertuples():
-                parts[int(r.seq)] = r.chunk
-                if r.last:
-                    last = int(r.seq)
+            # Most frames have a few rows, for which itertuples would make a class each time.
+            for seq, chunk, ends in zip(frame["seq"].tolist(), frame["chunk"].tolist(), frame["last"].tolist()):
+                parts[seq] = chunk
+                if ends:
+                    last = seq
         if last >= 0 and len(parts) == last + 1:
             if state.exists:
                 state.remove()
